@@ -5,7 +5,8 @@ numbers from a small domain (prices in whole currency units, nights, days, count
 are first reduced to value counts on the map side. For continuous values the group is bracketed
 instead: one pass builds mergeable sketches that enclose each wanted rank, a second pass counts what
 lies below the bracket and keeps only the values inside it, so that a group with a third of all rows
-sends less than a thousandth of them to the ranking step. The result is exact either way.
+sends less than a thousandth of them to the ranking step. Where the first pass shows that every group
+is small, ``percentile`` finishes the job. The result is exact in all three cases.
 """
 
 from collections.abc import Mapping, Sequence
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodgecast.functions.lookups import join_lookup, sized
+from lodgecast.functions.lookups import join_lookup
 
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 4 / SKETCH_ACCURACY
-WHOLE_BRACKET_ROWS = 50_000
+WHOLE_GROUP_ROWS = 50_000
 
 _WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -52,29 +53,50 @@ def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: Wanted,
+    aggregates: Sequence[Column] = (),
     accuracy: int = SKETCH_ACCURACY,
     margin: float = BRACKET_MARGIN,
-    whole_rows: int = WHOLE_BRACKET_ROWS,
+    whole_rows: int = WHOLE_GROUP_ROWS,
 ) -> DataFrame:
     """Exact quantiles per group: ``keys`` plus one double column per wanted name.
 
-    ``wanted`` maps an output name to (input column, probability). Without keys the result is one row.
+    ``wanted`` maps an output name to (input column, probability). Further ``aggregates`` ride along in
+    the first pass. Without keys the result is one row. Groups of up to ``whole_rows`` rows go through
+    ``percentile``; larger ones through brackets.
     """
     keys = list(keys)
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    if len(columns) == 1 and _is_whole(df, columns[0]):
+    if len(columns) == 1 and _is_whole(df, columns[0]) and not aggregates:
         probs = [p for _, p in wanted.values()]
         found = _percentile_of_counts(value_counts(df, keys, columns[0]), keys, columns[0], probs)
         return found.select(*keys, *[F.col("q")[i].alias(name) for i, name in enumerate(wanted)])
 
+    brackets = _brackets(df, keys, wanted, columns, aggregates, accuracy, margin, whole_rows).persist()
+    largest = brackets.agg(F.max(F.greatest(*[f"n_{j}" for j in range(len(wanted))], F.lit(0)))).first()[0]
+    if (largest or 0) <= whole_rows:
+        picks = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(n) for n, (c, p) in wanted.items()]
+        found = df.groupBy(*keys).agg(*picks)
+    else:
+        found = _bracketed_quantiles(df, keys, wanted, columns, brackets)
+    if not aggregates:
+        return found
+    inner = [c for c in brackets.columns if c not in keys and c.rsplit("_", 1)[0] not in ("n", "lo", "hi")]
+    extra = brackets.select(*keys, *inner)
+    if keys:
+        return join_lookup(found, extra, keys, "inner").select(*keys, *inner, *wanted)
+    types = {f.name: f.dataType for f in extra.schema}
+    return found.withColumns({name: F.lit(v).cast(types[name]) for name, v in extra.first().asDict().items()})
+
+
+def _bracketed_quantiles(df, keys, wanted, columns, brackets) -> DataFrame:
+    """Second pass: count what lies below each bracket, rank what lies inside."""
     values = df.select(*keys, *[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)])
-    brackets = _brackets(values, keys, wanted, columns, accuracy, margin, whole_rows)
+    ends = [f"{part}_{j}" for j in range(len(wanted)) for part in ("n", "lo", "hi")]
     if keys:
-        brackets = sized(brackets)
-        bracketed = join_lookup(values, brackets, keys, "inner")
+        bracketed = join_lookup(values, brackets.select(*keys, *ends), keys, "inner")
     else:
-        ends = brackets.first().asDict()  # one row: a count and two values per wanted quantile
-        bracketed = values.withColumns({name: F.lit(end) for name, end in ends.items()})
+        row = brackets.select(*ends).first().asDict()  # one row: a count and two values per wanted quantile
+        bracketed = values.withColumns({name: F.lit(end) for name, end in row.items()})
 
     entries = []
     for j, (column, _) in enumerate(wanted.values()):
@@ -112,29 +134,28 @@ def grouped_quantiles(
     return found.groupBy(*keys).agg(*picks)
 
 
-def _brackets(values, keys, wanted, columns, accuracy, margin, whole_rows) -> DataFrame:
-    """Per group and wanted quantile: row count and two values enclosing its rank."""
+def _brackets(df, keys, wanted, columns, aggregates, accuracy, margin, whole_rows) -> DataFrame:
+    """First pass: per group and wanted quantile the row count and two values enclosing its rank."""
     sketches = []
     for i, column in enumerate(columns):
         probs = [p for c, p in wanted.values() if c == column]
         ends = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
-        sketches.append(F.count(f"v_{i}").alias(f"n_rows_{i}"))
-        sketches.append(
-            F.percentile_approx(f"v_{i}", [float(e) for e in ends], accuracy).alias(f"ends_{i}")
-        )
-    sketch = values.groupBy(*keys).agg(*sketches)
+        value = F.col(column).cast("double")
+        sketches.append(F.count(value).alias(f"__rows_{i}"))
+        sketches.append(F.percentile_approx(value, [float(e) for e in ends], accuracy).alias(f"__ends_{i}"))
+    sketch = df.groupBy(*keys).agg(*sketches, *aggregates)
     outputs, seen = [], dict.fromkeys(columns, 0)
     for j, (column, _) in enumerate(wanted.values()):
         i, k = columns.index(column), seen[column]
         seen[column] += 1
-        n = F.col(f"n_rows_{i}")
+        n = F.col(f"__rows_{i}")
         small = n <= whole_rows
         outputs += [
             n.alias(f"n_{j}"),
-            F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"ends_{i}")[2 * k]).alias(f"lo_{j}"),
-            F.when(small, F.lit(float("inf"))).otherwise(F.col(f"ends_{i}")[2 * k + 1]).alias(f"hi_{j}"),
+            F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"__ends_{i}")[2 * k]).alias(f"lo_{j}"),
+            F.when(small, F.lit(float("inf"))).otherwise(F.col(f"__ends_{i}")[2 * k + 1]).alias(f"hi_{j}"),
         ]
-    return sketch.select(*keys, *outputs)
+    return sketch.select("*", *outputs).drop(*[f"__{part}_{i}" for i in range(len(columns)) for part in ("rows", "ends")])
 
 
 def quantile_edges(df: DataFrame, column: str, bands: int, drop_equal: bool = True, **sizes) -> list[float]:

@@ -1,0 +1,142 @@
+"""Data-parallel training by parameter averaging (Zinkevich et al., 2010).
+
+In each round every partition starts from the shared weights, makes one pass of mini-batch steps over
+its own rows and returns its weights; the next shared weights are their row-weighted mean. Rows stay
+where they are, a round moves one weight vector per partition, and the driver sees a bounded number
+of partial sums however many partitions there are.
+"""
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodgecast.functions.scalars import hash_uniform
+
+PARTIAL_SUMS = 16
+_SCHEMA = "part int, rows double, loss double, weights binary"
+
+# weights, features, labels -> mean loss, gradient
+Gradient = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
+
+
+@dataclass(frozen=True)
+class Descent:
+    """Settings of the local steps and of the stopping rule."""
+
+    learning_rate: float
+    batch_size: int
+    rounds: int
+    passes: int = 1
+    tolerance: float = 1e-4
+    patience: int = 30
+
+
+def training_rows(df: DataFrame, features: str = "features", label: str = "label", key: str = "id") -> DataFrame:
+    """Rows spread evenly in hash order, with dense arrays; kept for the rounds to come."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    rows = df.select(
+        F.col(key).alias("id"), vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")
+    )
+    spread = rows.repartition(parts, "id").sortWithinPartitions(hash_uniform(F.col("id"), 5))
+    return spread.persist()
+
+
+def dense(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _round(rows: DataFrame, weights: np.ndarray, gradient: Gradient, settings: Descent, step: float) -> tuple[np.ndarray, float]:
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    batch, passes = settings.batch_size, settings.passes
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value.copy()
+        first, second, t = np.zeros_like(w), np.zeros_like(w), 0
+        n, loss = 0, 0.0
+        for piece in batches:
+            x, y = dense(piece.column("x")), piece.column("y").to_numpy()
+            for sweep in range(passes):
+                for start in range(0, len(y), batch):
+                    part = slice(start, start + batch)
+                    value, slope = gradient(w, x[part], y[part])
+                    t += 1
+                    first = 0.9 * first + 0.1 * slope
+                    second = 0.999 * second + 0.001 * slope * slope
+                    w -= step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+                    if sweep == 0:
+                        loss += value * len(y[part])
+            n += len(y)
+        if n:
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([0], pa.int32()),
+                    "rows": [float(n)],
+                    "loss": [loss],
+                    "weights": [(w * n).tobytes()],
+                }
+            )
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v.as_py()) for v in parts.column("weights"))
+        return pa.table(
+            {
+                "part": pa.array([parts.column("part")[0].as_py()], pa.int32()),
+                "rows": [float(sum(parts.column("rows").to_pylist()))],
+                "loss": [float(sum(parts.column("loss").to_pylist()))],
+                "weights": [total.tobytes()],
+            }
+        )
+
+    partial = rows.select("x", "y").mapInArrow(local, _SCHEMA)
+    if rows.rdd.getNumPartitions() > PARTIAL_SUMS:
+        spread = partial.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
+        partial = spread.groupBy("part").applyInArrow(add, _SCHEMA)
+    found = partial.collect()
+    shared.destroy()
+    n = sum(r["rows"] for r in found)
+    total = sum(np.frombuffer(bytes(r["weights"])) for r in found)
+    return total / n, sum(r["loss"] for r in found) / n
+
+
+def _loss(rows: DataFrame, weights: np.ndarray, gradient: Gradient) -> float:
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in batches:
+            if piece.num_rows:
+                value, _ = gradient(shared.value, dense(piece.column("x")), piece.column("y").to_numpy())
+                yield pa.RecordBatch.from_pydict({"rows": [float(piece.num_rows)], "loss": [value * piece.num_rows]})
+
+    found = rows.select("x", "y").mapInArrow(measure, "rows double, loss double").agg(F.sum("rows"), F.sum("loss")).first()
+    return found[1] / found[0]
+
+
+def descend(rows: DataFrame, start: np.ndarray, gradient: Gradient, settings: Descent,
+            held_out: DataFrame | None = None) -> tuple[np.ndarray, list[float], bool]:
+    """Weights, loss per round, and whether the loss settled before the rounds ran out.
+
+    With ``held_out`` rows their loss decides when to stop and which weights are kept. The step is cut
+    to a fifth whenever the loss has not improved for half the patience.
+    """
+    w, best_w, best, waited, step = start, start, float("inf"), 0, settings.learning_rate
+    history = []
+    for _ in range(settings.rounds):
+        w, loss = _round(rows, w, gradient, settings, step)
+        watched = loss if held_out is None else _loss(held_out, w, gradient)
+        history.append(watched)
+        if watched < best - settings.tolerance:
+            waited = 0
+        else:
+            waited += 1
+        if watched < best:
+            best, best_w = watched, w
+        if waited and waited % max(settings.patience // 2, 1) == 0:
+            step /= 5.0
+        if waited >= settings.patience:
+            return (best_w if held_out is not None else w), history, True
+    return (best_w if held_out is not None else w), history, False

@@ -1,13 +1,16 @@
 """Row filters, null rules and imputation."""
 
 from collections.abc import Sequence
+from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodgecast.functions.lookups import sized
 from lodgecast.functions.quantiles import grouped_quantiles, quantile_array
-from lodgecast.functions.scalars import is_finite
+from lodgecast.functions.scalars import is_finite, parse_day
 from lodgecast.operators.features import add_features
 from lodgecast.schema import DROPPED_COLUMNS, IQR_MULTIPLIER
 
@@ -56,27 +59,63 @@ def numeric_columns(df: DataFrame, keep_out: Sequence[str] = ("id", "price")) ->
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in keep_out]
 
 
-def impute_medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def impute_medians(df: DataFrame, columns: Sequence[str] | None = None, holes: Sequence[str] | None = None) -> DataFrame:
     """Replace NULL by the column's median, as doubles.
 
-    One counting pass finds the columns that have NULLs at all; only those pay for a median.
+    Only columns that have NULLs at all pay for a median: ``holes`` names them where that is known,
+    otherwise one counting pass finds them.
     """
-    columns = list(columns) if columns is not None else numeric_columns(df)
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    holes = [c for c in columns if counts[c]]
+    if holes is None:
+        columns = list(columns) if columns is not None else numeric_columns(df)
+        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+        holes = [c for c in columns if counts[c]]
     if not holes:
         return df
-    medians = grouped_quantiles(df, [], {c: (c, 0.5) for c in holes})
-    one = medians.select(F.struct(*holes).alias("m")).scalar()
-    marked = df.withColumn("__m", one)
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col("__m")[c]) for c in holes}
-    return marked.withColumns(filled).drop("__m")
+    medians = grouped_quantiles(df, [], {c: (c, 0.5) for c in holes}).first()
+    known = {c: medians[c] for c in holes if medians[c] is not None}
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in known.items()})
+
+
+class ListingFacts(NamedTuple):
+    """What cleaning has to know about all priced rows before it can treat any of them."""
+
+    cap: float | None
+    latest_review: date | None
+    holes: list[str]
+
+
+def listing_facts(priced: DataFrame) -> ListingFacts:
+    """Price cap, latest review day and columns with NULLs among the kept rows, from one pass.
+
+    The pass keeps one row per price. The cap follows from the counts, and the other facts from the
+    prices at or below it, so the listings are not read again.
+    """
+    numbers = [c for c in numeric_columns(priced) if c not in DROPPED_COLUMNS]
+    by_price = priced.groupBy("price").agg(
+        F.count(F.lit(1)).alias("n_value"),
+        F.max(parse_day(F.col("last_review"))).alias("day"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in numbers],
+    )
+    by_price = sized(by_price)
+    q = by_price.agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.75)), F.col("n_value")).alias("q")).first()["q"]
+    if q is None:
+        return ListingFacts(None, None, [])
+    cap = q[1] + IQR_MULTIPLIER * (q[1] - q[0])
+    row = by_price.filter(F.col("price") <= F.lit(cap)).agg(
+        F.max("day").alias("day"), *[F.sum(f"null_{c}").alias(c) for c in numbers]
+    ).first()
+    return ListingFacts(cap, row["day"], [c for c in numbers if row[c]])
 
 
 def clean_listings(raw: DataFrame) -> DataFrame:
     """The model table: cleaned, capped, with engineered features and without NULL numbers."""
-    featured = capped_listings(raw).transform(add_features)
-    return featured.drop(*DROPPED_COLUMNS).transform(impute_medians)
+    priced = priced_listings(raw)
+    facts = listing_facts(priced)
+    kept = priced.filter(F.col("price") <= F.lit(facts.cap).cast("double"))
+    featured = add_features(kept, F.lit(facts.latest_review).cast("date")).drop(*DROPPED_COLUMNS)
+    logs = {"minimum_nights": "log_minimum_nights", "calculated_host_listings_count": "log_host_listing_count"}
+    holes = [*facts.holes, *[logs[c] for c in facts.holes if c in logs]]
+    return impute_medians(featured, holes=holes)
 
 
 def log_target(df: DataFrame) -> DataFrame:

@@ -54,12 +54,10 @@ def _root_mean_square(column: str) -> Column:
 
 
 def _summary(frame: DataFrame, keys: Sequence[str], measures: dict[str, Column], medians: dict[str, str]) -> DataFrame:
-    """Means in one mergeable aggregation, medians by exact ranks, joined on the group key."""
-    keys = list(keys)
-    known = frame.dropna(subset=keys)
-    means = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()])
-    middles = grouped_quantiles(known, keys, {name: (column, 0.5) for name, column in medians.items()})
-    return join_lookup(means, middles, keys, "inner")
+    """Means in the first mergeable pass over the frame, exact medians in the second."""
+    means = [F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]]
+    wanted = {name: (column, 0.5) for name, column in medians.items()}
+    return grouped_quantiles(frame.dropna(subset=list(keys)), keys, wanted, means)
 
 
 def segment_summary(frame: DataFrame, column: str, min_rows: int = 30, extra_keys: Sequence[str] = ()) -> DataFrame:
@@ -140,17 +138,12 @@ def with_price_bands(frame: DataFrame) -> DataFrame:
 def band_mean_p90(frame: DataFrame) -> DataFrame:
     """Mean and 90th percentile of actual and predicted price; every band has its row, in order."""
     banded = with_price_bands(frame)
-    means = banded.groupBy("price_band").agg(
-        F.avg("actual_price").alias("actual_mean"), F.avg("predicted_price").alias("predicted_mean")
-    )
-    tails = grouped_quantiles(
-        banded,
-        ["price_band"],
-        {"actual_p90": ("actual_price", 0.9), "predicted_p90": ("predicted_price", 0.9)},
-    )
+    means = [F.avg("actual_price").alias("actual_mean"), F.avg("predicted_price").alias("predicted_mean")]
+    tails = {"actual_p90": ("actual_price", 0.9), "predicted_p90": ("predicted_price", 0.9)}
+    found = grouped_quantiles(banded, ["price_band"], tails, means)
     order = F.posexplode(F.array(*[F.lit(text) for text in BAND_LABELS])).alias("band_order", "price_band")
     names = frame.sparkSession.range(1).select(order)
-    joined = join_lookup(join_lookup(names, means, ["price_band"]), tails, ["price_band"])
+    joined = join_lookup(names, found, ["price_band"])
     values = ["actual_mean", "predicted_mean", "actual_p90", "predicted_p90"]
     return joined.orderBy("band_order").select("price_band", *[F.round(v, 3).alias(v) for v in values])
 

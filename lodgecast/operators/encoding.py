@@ -26,24 +26,24 @@ def target_means(train: DataFrame, columns: Sequence[str], label: str = "label",
         .groupBy("e.feature", "e.category")
         .agg(F.sum("y").alias("total"), F.count("y").alias("rows"))
     )
-    overall = sums.filter(F.col("feature") == "*").select(F.col("total") / F.col("rows")).scalar()
+    overall = sums.filter(F.col("feature") == "*").select(F.col("total") / F.col("rows")).first()[0]
     whole = F.col("feature") == "*"
     mean = F.when(whole, F.col("total") / F.col("rows")).otherwise(
-        _smoothed(F.col("total"), F.col("rows"), overall, smoothing)
+        _smoothed(F.col("total"), F.col("rows"), F.lit(overall), smoothing)
     )
     return sums.select("feature", "category", "rows", mean.alias("target_mean"))
 
 
 def encode_target_means(df: DataFrame, means: DataFrame, columns: Sequence[str], suffix: str = "_target_mean") -> DataFrame:
     """Add each feature's target mean; categories the means do not know get the overall mean."""
-    overall = means.filter(F.col("feature") == "*").select("target_mean").scalar()
+    means = sized(means)
+    overall = means.filter(F.col("feature") == "*").first()["target_mean"]
     encoded = df
     for c in columns:
-        own = sized(
-            means.filter(F.col("feature") == c).select(F.col("category").alias(c), F.col("target_mean").alias(f"{c}{suffix}"))
-        )
+        own = means.filter(F.col("feature") == c)
+        own = own.select(F.col("category").alias(c), F.col("target_mean").alias(f"{c}{suffix}"))
         encoded = join_lookup(encoded, own, [c])
-    return encoded.withColumns({f"{c}{suffix}": F.coalesce(F.col(f"{c}{suffix}"), overall) for c in columns})
+    return encoded.withColumns({f"{c}{suffix}": F.coalesce(F.col(f"{c}{suffix}"), F.lit(overall)) for c in columns})
 
 
 def target_means_by_fold(df: DataFrame, columns: Sequence[str], folds: int, label: str = "label",

@@ -26,10 +26,14 @@ def recency_columns(latest: Column, missing_days: int = S.NO_REVIEW_DAYS) -> dic
     }
 
 
-def review_recency(df: DataFrame, reference: DataFrame | None = None, missing_days: int = S.NO_REVIEW_DAYS) -> DataFrame:
-    """Add the recency columns; the latest day is taken from ``reference`` or the rows themselves."""
-    days = (df if reference is None else reference).agg(F.max(parse_day(F.col("last_review"))))
-    return df.withColumns(recency_columns(days.scalar(), missing_days))
+def latest_review(df: DataFrame) -> Column:
+    """Latest review day of a table, as a scalar subquery."""
+    return df.agg(F.max(parse_day(F.col("last_review")))).scalar()
+
+
+def review_recency(df: DataFrame, latest: Column | None = None, missing_days: int = S.NO_REVIEW_DAYS) -> DataFrame:
+    """Add the recency columns; without a latest day given, the rows' own latest day counts."""
+    return df.withColumns(recency_columns(latest_review(df) if latest is None else latest, missing_days))
 
 
 def geo_cell(latitude: Column, longitude: Column) -> Column:
@@ -63,11 +67,11 @@ def interaction_columns() -> dict[str, Column]:
     }
 
 
-def add_features(df: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+def add_features(df: DataFrame, latest: Column | None = None) -> DataFrame:
     """All engineered columns; interaction keys build on the buckets of the same projection."""
     nights, hosted = F.col("minimum_nights"), F.col("calculated_host_listings_count")
     return (
-        review_recency(df, reference)
+        review_recency(df, latest)
         .withColumns(
             {
                 **bucket_columns(),

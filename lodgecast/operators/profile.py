@@ -112,14 +112,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         parts = [F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v)]
         stats += [p.alias(f"{c}__{n}") for p, n in zip(parts, ("count", "mean", "std", "min", "max"))]
         wanted.update({f"{c}__q{q}": (c, q / 100) for q in (25, 50, 75)})
-    quartiles = grouped_quantiles(df, [], wanted)
-    one = quartiles.select(F.struct(*wanted).alias("q")).scalar()
-    wide = df.agg(*stats).withColumn("__q", one)
+    wide = grouped_quantiles(df, [], wanted, stats)
     entries = [
         F.struct(
             F.lit(c).alias("column"),
             *[F.col(f"{c}__{n}").alias(n) for n in ("count", "mean", "std", "min")],
-            *[F.col("__q")[f"{c}__q{q}"].alias(f"q{q}") for q in (25, 50, 75)],
+            *[F.col(f"{c}__q{q}").alias(f"q{q}") for q in (25, 50, 75)],
             F.col(f"{c}__max").alias("max"),
         )
         for c in columns
