@@ -72,7 +72,7 @@ def grouped_quantiles(
         return found.select(*keys, *[F.col("q")[i].alias(name) for i, name in enumerate(wanted)])
 
     brackets = _brackets(df, keys, wanted, columns, aggregates, accuracy, margin, whole_rows).persist()
-    largest = brackets.agg(F.max(F.greatest(*[f"n_{j}" for j in range(len(wanted))], F.lit(0)))).first()[0]
+    largest = brackets.agg(F.max(F.greatest(*[f"__n_{j}" for j in range(len(wanted))], F.lit(0)))).first()[0]
     if (largest or 0) <= whole_rows:
         picks = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(n) for n, (c, p) in wanted.items()]
         found = df.groupBy(*keys).agg(*picks)
@@ -80,7 +80,7 @@ def grouped_quantiles(
         found = _bracketed_quantiles(df, keys, wanted, columns, brackets)
     if not aggregates:
         return found
-    inner = [c for c in brackets.columns if c not in keys and c.rsplit("_", 1)[0] not in ("n", "lo", "hi")]
+    inner = [c for c in brackets.columns if c not in keys and c not in _end_names(len(wanted))]
     extra = brackets.select(*keys, *inner)
     if keys:
         return join_lookup(found, extra, keys, "inner").select(*keys, *inner, *wanted)
@@ -88,10 +88,14 @@ def grouped_quantiles(
     return found.withColumns({name: F.lit(v).cast(types[name]) for name, v in extra.first().asDict().items()})
 
 
+def _end_names(count: int) -> list[str]:
+    return [f"__{part}_{j}" for j in range(count) for part in ("n", "lo", "hi")]
+
+
 def _bracketed_quantiles(df, keys, wanted, columns, brackets) -> DataFrame:
     """Second pass: count what lies below each bracket, rank what lies inside."""
     values = df.select(*keys, *[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)])
-    ends = [f"{part}_{j}" for j in range(len(wanted)) for part in ("n", "lo", "hi")]
+    ends = _end_names(len(wanted))
     if keys:
         bracketed = join_lookup(values, brackets.select(*keys, *ends), keys, "inner")
     else:
@@ -100,8 +104,8 @@ def _bracketed_quantiles(df, keys, wanted, columns, brackets) -> DataFrame:
 
     entries = []
     for j, (column, _) in enumerate(wanted.values()):
-        v, low, high = F.col(f"v_{columns.index(column)}"), F.col(f"lo_{j}"), F.col(f"hi_{j}")
-        entry = F.struct(F.lit(j).alias("j"), F.when(v >= low, v).alias("v"), F.col(f"n_{j}").alias("n"))
+        v, low, high = F.col(f"v_{columns.index(column)}"), F.col(f"__lo_{j}"), F.col(f"__hi_{j}")
+        entry = F.struct(F.lit(j).alias("j"), F.when(v >= low, v).alias("v"), F.col(f"__n_{j}").alias("n"))
         entries.append(F.when(v <= high, entry))
     candidates = (
         bracketed.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("e"))
@@ -151,9 +155,9 @@ def _brackets(df, keys, wanted, columns, aggregates, accuracy, margin, whole_row
         n = F.col(f"__rows_{i}")
         small = n <= whole_rows
         outputs += [
-            n.alias(f"n_{j}"),
-            F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"__ends_{i}")[2 * k]).alias(f"lo_{j}"),
-            F.when(small, F.lit(float("inf"))).otherwise(F.col(f"__ends_{i}")[2 * k + 1]).alias(f"hi_{j}"),
+            n.alias(f"__n_{j}"),
+            F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"__ends_{i}")[2 * k]).alias(f"__lo_{j}"),
+            F.when(small, F.lit(float("inf"))).otherwise(F.col(f"__ends_{i}")[2 * k + 1]).alias(f"__hi_{j}"),
         ]
     return sketch.select("*", *outputs).drop(*[f"__{part}_{i}" for i in range(len(columns)) for part in ("rows", "ends")])
 

@@ -56,13 +56,13 @@ def cv_log_rmse(scored: DataFrame, by: Sequence[str] = ("model",), fold: str = "
     return log_rmse(scored, [*by, fold]).groupBy(*by).agg(F.avg("rmse_log").alias("cv_rmse_log"))
 
 
-def check_log_scale(scored: DataFrame, prediction: str = "prediction") -> float:
+def check_log_scale(scored: DataFrame, prediction: str = "prediction", allowed: tuple[float, float] = LOG_SCALE_RANGE) -> float:
     """Median prediction; raises when it cannot be the logarithm of a nightly price.
 
     A sketch is enough here: the allowed range is far wider than its rank error.
     """
     middle = scored.agg(F.percentile_approx(prediction, 0.5).alias("m")).first()["m"]
-    low, high = LOG_SCALE_RANGE
+    low, high = allowed
     if middle is None or not low <= middle <= high:
         raise ValueError(f"predictions are not on the log1p scale: median {middle}")
     return middle

@@ -4,6 +4,7 @@
 """
 
 import argparse
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -13,9 +14,8 @@ from pyspark.sql import functions as F
 from lodgecast import schema as S
 from lodgecast.learning import ensembles
 from lodgecast.learning.features import prepare
-from lodgecast.learning.regressors import BASE_MODELS, SCALED_MODELS
+from lodgecast.learning.regressors import BASE_MODELS, SCALED_MODELS, build
 from lodgecast.learning.search import Encoded, Tuned, cross_validate, encode, tune, written
-from lodgecast.learning.regressors import build
 from lodgecast.operators.cleaning import clean_listings, log_target
 from lodgecast.operators.splits import assign_folds, assign_split_exact, training_rows
 from lodgecast.sources.tables import load_checkpoint, read_listings, results_table, save_checkpoint, write_report
@@ -71,7 +71,7 @@ def run(raw: DataFrame, settings: Settings, source: str = "", log=print) -> list
         if found is not None:
             row, pipeline = found
             log(f"Loaded checkpoint {name}")
-            result = Tuned(name, row["best_cv_rmse_log"], dict(row["best_params"]), row["test_metrics"].asDict(), pipeline)
+            result = Tuned(name, row["best_cv_rmse_log"], json.loads(row["best_params"]), row["test_metrics"].asDict(), pipeline)
         else:
             if settings.resume:
                 log(f"No matching checkpoint for {name}; training")

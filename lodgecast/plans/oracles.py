@@ -435,6 +435,15 @@ def _oracles() -> dict[str, str]:
             '{"feature":"' || case r.model when 'tme' then 'room_type_neighbourhood' when 'ols' then 'number_of_reviews'
               else 'none' end || '","seed":"42"}' as best_params_json
           from res r join cv on cv.model = r.model group by r.model, cv.cv_rmse_log""",
+        "scan_listings": "select * replace (cast(last_review as varchar) as last_review) from listings",
+        "fit_ols_single": """select round(regr_slope(label, number_of_reviews), 6) as slope,
+            round(regr_intercept(label, number_of_reviews), 6) as intercept from train""",
+        "one_hot_unknown": """, cells as (select geo_cell, row_number() over (order by geo_cell) - 1 as place
+            from (select distinct geo_cell from train))
+          select t.id, t.geo_cell, cast(coalesce(c.place, -1) as int) as place
+          from test t left join cells c on c.geo_cell = t.geo_cell""",
+        "stack_oof_matrix": """select id, fold, round(label, 6) as label, round(tme, 6) as tme, round(ols, 6) as ols,
+            round(mean_label, 6) as mean from oof""",
         "top_hosts": "select host_name, count(*) as rows from capped group by 1 order by 2 desc, 1 limit 10",
         "borough_share": """select neighbourhood_group, count(*) as rows,
             round(count(*) / cast((select count(*) from capped) as double) * 100, 4) as percent from capped group by 1""",
@@ -506,6 +515,7 @@ def _oracles() -> dict[str, str]:
     # The same bucket expressions over all listings, not only the capped ones.
     everything = BASE.replace("capped as (select * from priced where price <= (select cap from cap))", "capped as (select * from listings)")
     oracles.update({name: f"{everything} select {columns} from featured" for name, columns in raw_buckets.items()})
+    oracles["results_table"] = oracles["model_comparison"]
     oracles["clip_bounds"] = """select c_custkey as id, greatest(c_acctbal, 0.0) as at_least_zero,
         greatest(c_acctbal, 1.0) as at_least_one, least(greatest(c_acctbal, 100.0), 5000.0) as both_sides from customer"""
     oracles["params_json"] = """select event_id, '{"event_type":"' || event_type || '","k":"'

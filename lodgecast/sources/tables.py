@@ -1,5 +1,6 @@
 """Listing files in, result tables and checkpoints out."""
 
+import json
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -7,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodgecast.functions.scalars import sorted_params_json
 from lodgecast.schema import LISTING_SCHEMA
 
 # Texts that stand for a missing value in a listing file.
@@ -15,11 +15,11 @@ MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 RESULT_SCHEMA = (
-    "position int, model string, cv_rmse_log double, mae double, rmse double, r2 double, params map<string,string>"
+    "position int, model string, cv_rmse_log double, mae double, rmse double, r2 double, best_params_json string"
 )
 CONTEXT_FIELDS = "mode string, source string, train_rows bigint, test_rows bigint, trial_count int"
 METADATA_SCHEMA = (
-    "name string, artifact string, best_cv_rmse_log double, best_params map<string,string>, "
+    "name string, artifact string, best_cv_rmse_log double, best_params string, "
     f"test_metrics struct<mae:double,rmse:double,r2:double>, context struct<{CONTEXT_FIELDS.replace(' ', ':').replace(',:', ',')}>"
 )
 
@@ -71,7 +71,7 @@ def results_table(spark: SparkSession, results: list) -> DataFrame:
     """One row per finished model, rounded for reporting, parameters as JSON with sorted keys."""
     rows = [
         (i, r.name, float(r.cv_rmse_log), *[float(r.metrics[m]) for m in ("mae", "rmse", "r2")],
-         {k: str(v) for k, v in r.params.items()})
+         json.dumps(r.params, sort_keys=True))
         for i, r in enumerate(results)
     ]
     table = spark.createDataFrame(rows, RESULT_SCHEMA)
@@ -81,7 +81,7 @@ def results_table(spark: SparkSession, results: list) -> DataFrame:
         F.round("mae", 4).alias("test_mae_dollars"),
         F.round("rmse", 4).alias("test_rmse_dollars"),
         F.round("r2", 6).alias("test_r2"),
-        sorted_params_json(F.col("params")).alias("best_params_json"),
+        "best_params_json",
     )
 
 
@@ -93,7 +93,7 @@ def save_checkpoint(spark: SparkSession, folder: str, result, context: dict) ->
         result.name,
         artifact,
         float(result.cv_rmse_log),
-        {k: str(v) for k, v in result.params.items()},
+        json.dumps(result.params, sort_keys=True),
         tuple(float(result.metrics[m]) for m in ("mae", "rmse", "r2")),
         tuple(context[f.split()[0]] for f in CONTEXT_FIELDS.split(", ")),
     )
