@@ -38,11 +38,10 @@ class Descent:
 
 def training_rows(df: DataFrame, features: str = "features", label: str = "label", key: str = "id") -> DataFrame:
     """Rows spread evenly in hash order, with dense arrays; kept for the rounds to come."""
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     rows = df.select(
         F.col(key).alias("id"), vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")
     )
-    spread = rows.repartition(parts, "id").sortWithinPartitions(hash_uniform(F.col("id"), 5))
+    spread = rows.repartition("id").sortWithinPartitions(hash_uniform(F.col("id"), 5))
     return spread.persist()
 
 
@@ -50,7 +49,8 @@ def dense(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _round(rows: DataFrame, weights: np.ndarray, gradient: Gradient, settings: Descent, step: float) -> tuple[np.ndarray, float]:
+def _round(rows: DataFrame, weights: np.ndarray, gradient: Gradient, settings: Descent, step: float,
+           merge: bool) -> tuple[np.ndarray, float]:
     shared = rows.sparkSession.sparkContext.broadcast(weights)
     batch, passes = settings.batch_size, settings.passes
 
@@ -93,7 +93,7 @@ def _round(rows: DataFrame, weights: np.ndarray, gradient: Gradient, settings: D
         )
 
     partial = rows.select("x", "y").mapInArrow(local, _SCHEMA)
-    if rows.rdd.getNumPartitions() > PARTIAL_SUMS:
+    if merge:
         spread = partial.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
         partial = spread.groupBy("part").applyInArrow(add, _SCHEMA)
     found = partial.collect()
@@ -125,8 +125,9 @@ def descend(rows: DataFrame, start: np.ndarray, gradient: Gradient, settings: De
     """
     w, best_w, best, waited, step = start, start, float("inf"), 0, settings.learning_rate
     history = []
+    merge = rows.rdd.getNumPartitions() > PARTIAL_SUMS
     for _ in range(settings.rounds):
-        w, loss = _round(rows, w, gradient, settings, step)
+        w, loss = _round(rows, w, gradient, settings, step, merge)
         watched = loss if held_out is None else _loss(held_out, w, gradient)
         history.append(watched)
         if watched < best - settings.tolerance:

@@ -1,13 +1,15 @@
 """Train/test split, folds and samples, all in seeded hash order of the row key."""
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodgecast import schema as S
 from lodgecast.functions.lookups import join_lookup, sized
 from lodgecast.functions.quantiles import with_bands
-from lodgecast.functions.ranks import with_hash_rank
+from lodgecast.functions.ranks import before, hash_places
 from lodgecast.functions.scalars import hash_number, hash_text, joined_key
 
 BUCKETS = 1000
@@ -20,25 +22,23 @@ def assign_split(df: DataFrame, test_share: float = S.TEST_SHARE, seed: int = S.
 
 
 def assign_split_exact(df: DataFrame, test_share: float = S.TEST_SHARE, seed: int = S.SEED, key: str = "id") -> DataFrame:
-    """Add ``split`` with exactly the rounded-up share of test rows."""
-    ranked = with_hash_rank(df, key, seed)
-    test = F.col("rank") < F.ceil(F.col("total") * F.lit(test_share))
-    return ranked.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("rank", "total")
+    """Add ``split`` with exactly the rounded-up share of test rows: those before one place of the hash order."""
+    cut = hash_places(df, lambda total: [math.ceil(total * test_share)], key, seed)[0]
+    return df.withColumn("split", F.when(before(cut, key, seed), F.lit("test")).otherwise(F.lit("train")))
 
 
-def _fold_of_rank(rank: Column, total: Column, folds: int) -> Column:
-    """Fold sizes differ by one at most; the first ``total mod folds`` folds are the larger ones."""
-    size = F.floor(total / folds)
-    in_large = (total % folds) * (size + 1)
-    large = F.floor(rank / (size + 1))
-    rest = (total % folds) + F.floor((rank - in_large) / F.greatest(size, F.lit(1)))
-    return F.when(rank < in_large, large).otherwise(rest).cast("int")
+def fold_starts(total: int, folds: int) -> list[int]:
+    """Rank at which each fold but the first starts; sizes differ by one at most, the larger come first."""
+    return [f * (total // folds) + min(f, total % folds) for f in range(1, folds)]
 
 
 def assign_folds(df: DataFrame, folds: int = S.FOLDS, seed: int = S.SEED, key: str = "id") -> DataFrame:
     """Add ``fold`` 0..folds-1, a shuffled split into folds of equal size."""
-    ranked = with_hash_rank(df, key, seed)
-    return ranked.withColumn("fold", _fold_of_rank(F.col("rank"), F.col("total"), folds)).drop("rank", "total")
+    starts = hash_places(df, lambda total: fold_starts(total, folds), key, seed)
+    fold = F.lit(folds - 1)
+    for f in range(folds - 2, -1, -1):
+        fold = F.when(before(starts[f], key, seed), F.lit(f)).otherwise(fold)
+    return df.withColumn("fold", fold)
 
 
 def assign_folds_unranked(df: DataFrame, folds: int = S.FOLDS, seed: int = S.SEED, key: str = "id") -> DataFrame:
@@ -48,8 +48,8 @@ def assign_folds_unranked(df: DataFrame, folds: int = S.FOLDS, seed: int = S.SEE
 
 def fraction_sample(df: DataFrame, share: float = S.SAMPLE_SHARE, seed: int = S.SEED, key: str = "id") -> DataFrame:
     """Exactly ``round(share * rows)`` rows (half to even), the first in hash order."""
-    ranked = with_hash_rank(df, key, seed)
-    return ranked.filter(F.col("rank") < F.rint(F.col("total") * F.lit(share))).drop("rank", "total")
+    cut = hash_places(df, lambda total: [round(total * share)], key, seed)[0]
+    return df.filter(before(cut, key, seed))
 
 
 def capped_sample(df: DataFrame, group: str, rows: int, seed: int = S.SEED, key: str = "id") -> DataFrame:

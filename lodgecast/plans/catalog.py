@@ -43,6 +43,17 @@ def kept(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.capped_listings(raw(spark, folder))
 
 
+def kept_columns(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """A few columns of the kept listings, held for queries that pass over them more than once."""
+    return kept(spark, folder).select(*columns).persist()
+
+
+def train_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Training rows with what the strata need, held because bands, allocation and sample all read them."""
+    rows = P.labelled(raw(spark, folder)).filter("split = 'train'")
+    return rows.select("id", "neighbourhood_group", "room_type", "price", "label").persist()
+
+
 # --- cleaning and audit -------------------------------------------------------------------------
 
 
@@ -194,29 +205,27 @@ def hash_split(spark, folder):
 
 @register
 def hash_split_exact(spark, folder):
-    return splits.assign_split_exact(kept(spark, folder)).select("id", "split")
+    return splits.assign_split_exact(kept_columns(spark, folder, "id")).select("id", "split")
 
 
 @register
 def kfold_assign(spark, folder):
-    return splits.assign_folds(kept(spark, folder).select("id"))
+    return splits.assign_folds(kept_columns(spark, folder, "id"))
 
 
 @register
 def fraction_sample(spark, folder):
-    return splits.fraction_sample(kept(spark, folder).select("id", "price"))
+    return splits.fraction_sample(kept_columns(spark, folder, "id", "price"))
 
 
 @register
 def stratified_alloc(spark, folder):
-    train = P.labelled(raw(spark, folder)).filter("split = 'train'")
-    return splits.allocate(splits.with_strata(train), S.LITE_ROWS)
+    return splits.allocate(splits.with_strata(train_rows(spark, folder)), S.LITE_ROWS)
 
 
 @register
 def stratified_sample(spark, folder):
-    train = P.labelled(raw(spark, folder)).filter("split = 'train'")
-    return splits.stratified_sample(train).select("id", "neighbourhood_group", "room_type", "price")
+    return splits.stratified_sample(train_rows(spark, folder)).select("id", "neighbourhood_group", "room_type", "price")
 
 
 @register
@@ -235,7 +244,7 @@ def semi_display_rows(spark, folder):
 
 @register
 def anti_unsampled(spark, folder):
-    train = P.labelled(raw(spark, folder)).filter("split = 'train'")
+    train = train_rows(spark, folder)
     sampled = splits.stratified_sample(train).select("id")
     return train.select("id", "price").join(sampled, "id", "left_anti")
 
@@ -275,13 +284,13 @@ def dummies_full(spark, folder):
 
 @register
 def standard_scale(spark, folder):
-    rows = kept(spark, folder).select("id", *SCALED_COLUMNS)
+    rows = kept_columns(spark, folder, "id", *SCALED_COLUMNS)
     return rounded(encoding.scale_columns(rows, SCALED_COLUMNS), 6, *SCALED_COLUMNS)
 
 
 @register
 def scale_no_mean(spark, folder):
-    rows = kept(spark, folder).select("id", *SCALED_COLUMNS, F.lit(1.0).alias("constant"))
+    rows = kept_columns(spark, folder, "id", *SCALED_COLUMNS).select("*", F.lit(1.0).alias("constant"))
     columns = [*SCALED_COLUMNS, "constant"]
     return rounded(encoding.scale_columns(rows, columns, centre=False), 6, *columns)
 
@@ -291,7 +300,7 @@ def scale_no_mean(spark, folder):
 
 @register
 def qcut_bands(spark, folder):
-    rows = sized(kept(spark, folder).select("id", "price"))
+    rows = kept_columns(spark, folder, "id", "price")
     out = rows
     for bands in (3, 5, 10):
         out = with_bands(out, "price", bands, f"band{bands}")
@@ -489,12 +498,13 @@ def room_mix_share(spark, folder):
 
 @register
 def top_neighbourhoods(spark, folder):
-    return rounded(profile.top_neighbourhoods(kept(spark, folder)), 3, "median_price")
+    return rounded(profile.top_neighbourhoods(
+        kept_columns(spark, folder, "id", "neighbourhood", "neighbourhood_group", "price")), 3, "median_price")
 
 
 @register
 def present_boroughs(spark, folder):
-    rows = kept(spark, folder)
+    rows = kept_columns(spark, folder, "id", "neighbourhood", "neighbourhood_group", "price")
     return profile.boroughs_of(rows, profile.top_neighbourhoods(rows))
 
 
@@ -521,18 +531,18 @@ def ecdf_steps(spark, folder):
 
 @register
 def hist_equal_width(spark, folder):
-    return rounded(charts.histogram(kept(spark, folder), "price"), 4, "bin_lo", "bin_hi")
+    return rounded(charts.histogram(kept_columns(spark, folder, "price"), "price"), 4, "bin_lo", "bin_hi")
 
 
 @register
 def hist_log_price(spark, folder):
-    rows = kept(spark, folder).select(F.log1p(F.col("price").cast("double")).alias("price_log"))
+    rows = kept_columns(spark, folder, "price").select(F.log1p(F.col("price").cast("double")).alias("price_log"))
     return rounded(charts.histogram(rows, "price_log"), 6, "bin_lo", "bin_hi")
 
 
 @register
 def hist_log_width(spark, folder):
-    return rounded(charts.log_histogram(kept(spark, folder), "reviews_per_month"), 6, "bin_lo", "bin_hi", "median")
+    return rounded(charts.log_histogram(kept_columns(spark, folder, "reviews_per_month"), "reviews_per_month"), 6, "bin_lo", "bin_hi", "median")
 
 
 @register
@@ -559,7 +569,8 @@ def box_stats(spark, folder):
 
 @register
 def describe_numeric(spark, folder):
-    table = profile.describe(kept(spark, folder), [*STATS_COLUMNS, "reviews_per_month"])
+    columns = [*STATS_COLUMNS, "reviews_per_month"]
+    table = profile.describe(kept_columns(spark, folder, *columns), columns)
     return rounded(table, 4, "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

@@ -54,7 +54,8 @@ def test_segments_hide_small_groups_and_sort_by_rmse(spark):
 
 
 def test_mispriced_ties_take_the_lower_id(spark):
-    frame = D.residual_frame(scored(spark, [10.0, 20, 30, 40, 50, 60], [20.0, 30, 40, 30, 40, 50]))
+    prices = [(0, 10.0, 20.0), (1, 20.0, 30.0), (2, 30.0, 40.0), (3, 40.0, 30.0), (4, 50.0, 40.0), (5, 60.0, 50.0)]
+    frame = spark.createDataFrame(prices, "id bigint, actual_price double, predicted_price double")
     rows = D.mispriced(frame, 2).collect()
     assert [(r["pricing_direction"][:4], r["id"]) for r in rows] == [("over", 3), ("over", 4), ("unde", 0), ("unde", 1)]
 
