@@ -9,12 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgecast import schema as S
 from lodgecast.functions.scalars import sorted_params_json
-from lodgecast.learning.features import feature_pipeline
+from lodgecast.learning.features import PopulationScaler, feature_pipeline
 from lodgecast.learning.regressors import build, converged, draw_params
 from lodgecast.learning.neighbour_model import vectors
 from lodgecast.operators.metrics import dollar_metrics
@@ -26,7 +27,7 @@ TRIAL_SCHEMA = "model string, trial int, value double, elapsed_seconds double, p
 
 @dataclass
 class Encoded:
-    """Training rows, test rows and cross-validation folds as feature vectors, scaled or not."""
+    """Training rows, test rows and cross-validation folds as feature vectors."""
 
     train: DataFrame
     test: DataFrame
@@ -55,23 +56,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def encode(train: DataFrame, test: DataFrame, scaled: bool, folds: int = S.FOLDS, parallelism: int = S.FOLDS,
-           **columns) -> Encoded:
+def encode(train: DataFrame, test: DataFrame, folds: int = S.FOLDS, parallelism: int = S.FOLDS, **columns) -> Encoded:
     """Fit the feature stages per fold and on all training rows, and write what they produce.
 
-    Encoders depend on the fold but not on the trial, so every trial of every model reuses these tables.
-    ``train`` carries ``id, label, fold`` and the prepared columns.
+    Encoders depend on the fold but not on the trial, so every trial of every model reuses these tables:
+    one copy of the training rows per fold. ``train`` carries ``id, label, fold`` and the prepared columns.
     """
     keep = ["id", "label", "fold", "features"]
 
     def fold_pair(f: int) -> tuple[DataFrame, DataFrame]:
-        inside = train.filter(F.col("fold") != f)
-        encoder = feature_pipeline(scaled, **columns).fit(inside)
+        encoder = feature_pipeline(**columns).fit(train.filter(F.col("fold") != f))
         rows = written(encoder.transform(train).select(*keep), f"fold{f}")
         return rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
 
     def whole() -> tuple[DataFrame, DataFrame, PipelineModel]:
-        encoder = feature_pipeline(scaled, **columns).fit(train)
+        encoder = feature_pipeline(**columns).fit(train)
         rows = written(encoder.transform(train).select(*keep), "train")
         return rows, written(encoder.transform(test).select("id", "label", "features"), "test"), encoder
 
@@ -82,6 +81,31 @@ def encode(train: DataFrame, test: DataFrame, scaled: bool, folds: int = S.FOLDS
     return Encoded(rows, test_rows, pairs, encoder)
 
 
+def scaled(encoded: Encoded, parallelism: int = S.FOLDS) -> Encoded:
+    """The same rows with scaled features. Factors are fitted on each training side; the scaling itself
+    happens when the written rows are read, so nothing is stored twice."""
+
+    def factors(inside: DataFrame) -> ElementwiseProduct:
+        return PopulationScaler(inputCol="features", outputCol="scaled").fit(inside)
+
+    def apply(scaler: ElementwiseProduct, rows: DataFrame) -> DataFrame:
+        return scaler.transform(rows).drop("features").withColumnRenamed("scaled", "features")
+
+    with ThreadPoolExecutor(max_workers=max(parallelism, 1)) as pool:
+        scalers = list(pool.map(factors, [encoded.train, *[inside for inside, _ in encoded.folds]]))
+    *stages, assembler = encoded.encoder.stages
+    last = [
+        assembler.copy().setOutputCol("unscaled"),
+        scalers[0].copy().setInputCol("unscaled").setOutputCol("features"),
+    ]
+    return Encoded(
+        apply(scalers[0], encoded.train),
+        apply(scalers[0], encoded.test),
+        [(apply(s, inside), apply(s, outside)) for s, (inside, outside) in zip(scalers[1:], encoded.folds)],
+        PipelineModel([*stages, *last]),
+    )
+
+
 def cross_validate(encoded: Encoded, make: Callable[[DataFrame], Estimator], params: dict,
                    parallelism: int = S.FOLDS) -> tuple[float, DataFrame]:
     """Mean of the folds' log RMSE, and the out-of-fold predictions it was measured on.

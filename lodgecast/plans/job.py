@@ -15,7 +15,7 @@ from lodgecast import schema as S
 from lodgecast.learning import ensembles
 from lodgecast.learning.features import prepare
 from lodgecast.learning.regressors import BASE_MODELS, SCALED_MODELS, build
-from lodgecast.learning.search import Encoded, Tuned, cross_validate, encode, tune, written
+from lodgecast.learning.search import Encoded, Tuned, cross_validate, encode, scaled, tune, written
 from lodgecast.operators.cleaning import clean_listings, log_target
 from lodgecast.operators.splits import assign_folds, assign_split_exact, training_rows
 from lodgecast.sources.tables import load_checkpoint, read_listings, results_table, save_checkpoint, write_report
@@ -60,10 +60,11 @@ def run(raw: DataFrame, settings: Settings, source: str = "", log=print) -> list
     done: list[Tuned] = []
 
     def tables(model: str) -> Encoded:
-        scaled = model in SCALED_MODELS
-        if scaled not in encoded:
-            encoded[scaled] = encode(train, test, scaled, parallelism=settings.parallelism, **settings.columns)
-        return encoded[scaled]
+        if False not in encoded:
+            encoded[False] = encode(train, test, parallelism=settings.parallelism, **settings.columns)
+        if model in SCALED_MODELS and True not in encoded:
+            encoded[True] = scaled(encoded[False], settings.parallelism)
+        return encoded[model in SCALED_MODELS]
 
     def stage(name: str, trials: int | None, work) -> Tuned:
         context = {"mode": settings.mode, "source": source, **sizes, "trial_count": trials}

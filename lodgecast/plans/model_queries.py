@@ -12,7 +12,7 @@ from lodgecast import schema as S
 from lodgecast.functions.lookups import sized
 from lodgecast.learning import regressors
 from lodgecast.learning.features import feature_names, feature_pipeline, prepare
-from lodgecast.learning.search import Tuned, encode, trial_table as trials_as_table, tune, written
+from lodgecast.learning.search import Tuned, encode, scaled, trial_table as trials_as_table, tune, written
 from lodgecast.operators import cleaning, metrics, splits
 from lodgecast.operators.voting import prediction_columns
 from lodgecast.plans import predictions as P
@@ -53,9 +53,9 @@ def model_rows(spark, folder) -> tuple[DataFrame, DataFrame]:
     return table.filter("split = 'train'").drop("split"), table.filter("split = 'test'").drop("split")
 
 
-def encoded_rows(spark, folder, scaled: bool) -> tuple[DataFrame, DataFrame, PipelineModel]:
+def encoded_rows(spark, folder, scale: bool) -> tuple[DataFrame, DataFrame, PipelineModel]:
     train, test = model_rows(spark, folder)
-    encoder = feature_pipeline(scaled).fit(train)
+    encoder = feature_pipeline(scale).fit(train)
     keep = ["id", "label", "features"]
     return sized(encoder.transform(train).select(*keep)), sized(encoder.transform(test).select(*keep)), encoder
 
@@ -166,7 +166,7 @@ def one_hot_unknown(spark, folder):
 @register
 def cv_rmse(spark, folder):
     train, test = model_rows(spark, folder)
-    encoded = encode(splits.assign_folds(train), test, True, **SMALL_COLUMNS)
+    encoded = scaled(encode(splits.assign_folds(train), test, **SMALL_COLUMNS))
     tuned = tune("ElasticNet", encoded, 1, overrides=SETTINGS["ElasticNet"], log=lambda line: None)
     error = F.col("label") - F.col("prediction")
     per_fold = tuned.out_of_fold.groupBy("fold").agg(
@@ -178,7 +178,7 @@ def cv_rmse(spark, folder):
 @register
 def trial_table(spark, folder):
     train, test = model_rows(spark, folder)
-    encoded = encode(splits.assign_folds(train), test, True, **SMALL_COLUMNS)
+    encoded = scaled(encode(splits.assign_folds(train), test, **SMALL_COLUMNS))
     trials = []
     for model in ("ElasticNet", "KNN"):
         trials += tune(model, encoded, 3, log=lambda line: None).trials
