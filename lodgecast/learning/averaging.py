@@ -37,14 +37,17 @@ class Descent:
 
 
 def training_rows(df: DataFrame, features: str = "features", label: str = "label", key: str = "id") -> DataFrame:
-    """Rows spread evenly in hash order, with dense arrays; kept for the rounds to come."""
-    rows = df.select(
-        F.col(key).alias("id"), vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")
-    )
+    """Rows spread evenly in hash order and kept for the rounds to come, with their sparse vectors."""
+    rows = df.select(F.col(key).alias("id"), F.col(features).alias("features"), F.col(label).cast("double").alias("y"))
     spread = rows.repartition("id").sortWithinPartitions(hash_uniform(F.col("id"), 5))
     return spread.persist()
 
 
+def arrays(rows: DataFrame) -> DataFrame:
+    """Dense arrays for a pass over the rows; only a record batch of them exists at a time."""
+    return rows.select(vector_to_array("features").alias("x"), "y")
+
+
 def dense(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -92,7 +95,7 @@ def _round(rows: DataFrame, weights: np.ndarray, gradient: Gradient, settings: D
             }
         )
 
-    partial = rows.select("x", "y").mapInArrow(local, _SCHEMA)
+    partial = arrays(rows).mapInArrow(local, _SCHEMA)
     if merge:
         spread = partial.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
         partial = spread.groupBy("part").applyInArrow(add, _SCHEMA)
@@ -112,7 +115,7 @@ def _loss(rows: DataFrame, weights: np.ndarray, gradient: Gradient) -> float:
                 value, _ = gradient(shared.value, dense(piece.column("x")), piece.column("y").to_numpy())
                 yield pa.RecordBatch.from_pydict({"rows": [float(piece.num_rows)], "loss": [value * piece.num_rows]})
 
-    found = rows.select("x", "y").mapInArrow(measure, "rows double, loss double").agg(F.sum("rows"), F.sum("loss")).first()
+    found = arrays(rows).mapInArrow(measure, "rows double, loss double").agg(F.sum("rows"), F.sum("loss")).first()
     return found[1] / found[0]
 
 
