@@ -5,8 +5,6 @@ from compare import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-MODEL_QUERIES = {"scan_listings", "results_table", "fit_ols_single", "one_hot_unknown", "stack_oof_matrix"}
-
 
 @pytest.fixture(scope="module")
 def database(small):
