@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgecast.llm import packing
 from lodgecast.llm import quality_rules as quality
 from lodgecast.llm import substring_dedup as substring
 
@@ -82,3 +84,8 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
