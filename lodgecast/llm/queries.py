@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgecast.llm import near_dedup as near
 from lodgecast.llm import packing
 from lodgecast.llm import quality_rules as quality
 from lodgecast.llm import substring_dedup as substring
@@ -89,3 +90,8 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_dedup(table(spark, folder, "documents"))
