@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgecast.llm import decontamination as benchmark
 from lodgecast.llm import near_dedup as near
 from lodgecast.llm import packing
 from lodgecast.llm import quality_rules as quality
@@ -95,3 +96,8 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_dedup(table(spark, folder, "documents"))
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
