@@ -113,22 +113,62 @@ def _packer(spots: Callable, buckets: int) -> Callable:
     return run
 
 
-def _by_text(digests: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """One row for each text with its places, ascending."""
-    order = np.lexsort((places, digests))
-    digests, places = digests[order], places[order]
-    edges = np.flatnonzero(np.r_[True, digests[1:] != digests[:-1], True]) if len(digests) else np.zeros(1, int)
-    cut = zip(edges[:-1], edges[1:], strict=True)
+def _by_group(digests: np.ndarray, places: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Places on their way back to their texts: one row for each group of texts."""
+    group = digests % groups
+    order = np.argsort(group, kind="stable")
+    digests, places, group = digests[order], places[order].astype(np.int32), group[order]
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, int)
+    cut = list(zip(edges[:-1], edges[1:], strict=True))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(digests[edges[:-1]], pa.int64()),
-            pa.array([places[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary()),
+            pa.array(group[edges[:-1]], pa.int32()),
+            pa.array([digests[a:b].tobytes() for a, b in cut], pa.binary()),
+            pa.array([places[a:b].tobytes() for a, b in cut], pa.binary()),
         ],
-        ["digest", "places"],
+        ["group", "digests", "places"],
     )
 
 
-def _counted(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _distinct(digests: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending."""
+    digest, place = np.concatenate(digests), np.concatenate(places)
+    order = np.lexsort((place, digest))
+    digest, place = digest[order], place[order]
+    new = np.r_[True, (digest[1:] != digest[:-1]) | (place[1:] != place[:-1])][: len(digest)]
+    return digest[new], place[new]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text with its places, ascending. Rows arrive sorted by group; one group is held at a time."""
+
+    def texts() -> pa.RecordBatch:
+        digest, place = _distinct(digests, places)
+        edges = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1], True])
+        cut = zip(edges[:-1], edges[1:], strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(digest[edges[:-1]]), pa.array([place[a:b].tobytes() for a, b in cut], pa.binary())],
+            ["digest", "places"],
+        )
+
+    current, digests, places, held = None, [], [], 0
+    for batch in batches:
+        for group, d, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != current and digests:
+                yield texts()
+                digests, places, held = [], [], 0
+            current = group
+            digests.append(np.frombuffer(d, np.int64))
+            places.append(np.frombuffer(p, np.int32))
+            held += len(digests[-1])
+            if held > 2 * PACK:  # copies of a text send the same places
+                one, two = _distinct(digests, places)
+                digests, places, held = [one], [two], 0
+    if digests:
+        yield texts()
+
+
+def _counted(packs: list[tuple], groups: int) -> pa.RecordBatch:
     """Places in one bucket whose hash more than one pack sent."""
     hashes = np.concatenate([np.frombuffer(p[1], np.uint64) for p in packs])
     digests = np.concatenate([_digests(p) for p in packs])
@@ -137,44 +177,42 @@ def _counted(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = hashes[order][1:] == hashes[order][:-1]
     twice = order[same[1:] | same[:-1]]
-    yield _by_text(digests[twice], places[twice])
+    return _by_group(digests[twice], places[twice], groups)
 
 
 def _digests(row: tuple) -> np.ndarray:
     return np.frombuffer(row[4], np.int64)[np.frombuffer(row[2], np.int32)]
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs arrive sorted by bucket; one bucket is held at a time, settled places pass through."""
-    current, packs = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not row[1]:
-                yield _by_text(_digests(row), np.frombuffer(row[3], np.int32))
-                continue
-            if row[0] != current and packs:
-                yield from _counted(packs)
-                packs = []
-            current = row[0]
-            packs.append(row)
-    if packs:
-        yield from _counted(packs)
-
+def _counter(groups: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs arrive sorted by bucket; one bucket is held at a time, settled places pass through."""
+        current, packs = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not row[1]:
+                    yield _by_group(_digests(row), np.frombuffer(row[3], np.int32), groups)
+                    continue
+                if row[0] != current and packs:
+                    yield _counted(packs, groups)
+                    packs = []
+                current = row[0]
+                packs.append(row)
+        if packs:
+            yield _counted(packs, groups)
 
-def _merge_places(frame: DataFrame) -> DataFrame:
-    """digest and places as an array of binaries, one row for each text."""
-    return frame.groupBy("digest").agg(F.collect_set("places").alias("places"))
+    return run
 
 
 def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
+    """digest and places of what was packed at more than one place, one row for each text."""
     spread = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return spread.mapInArrow(_count_buckets, _PLACES)
+    back = spread.mapInArrow(_counter(buckets), "group int, digests binary, places binary")
+    return back.repartition(buckets, "group").sortWithinPartitions("group").mapInArrow(_gather, _PLACES)
 
 
-def _unpacked(places: list[bytes] | None) -> np.ndarray:
-    if not places:
-        return np.zeros(0, np.int32)
-    return np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in places]))
+def _unpacked(places: bytes | None) -> np.ndarray:
+    return np.frombuffer(places or b"", np.int32)
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -222,12 +260,12 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, chars_per_bucket: int
         return _packer(window_spots, buckets)(batches)
 
     found = docs.select("digest", "text").mapInArrow(_packer(anchor_spots, buckets), _PACKED)
-    candidates = _merge_places(_repeated(found, buckets))
+    candidates = _repeated(found, buckets)
     # Copies of one text lie side by side after the join and are hashed once. All columns go along, so that the
     # exchange of the texts is the one that the final join needs and Spark runs it once.
     texts = docs.join(candidates, "digest").select("doc_id", "text", "digest", "places")
     windows = texts.mapInArrow(window_packs, _PACKED)
-    return _merge_places(_repeated(windows, buckets))
+    return _repeated(windows, buckets)
 
 
 def substring_dedup(
