@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from lodgecast.llm import chat_format as chat
 from lodgecast.llm import decontamination as benchmark
+from lodgecast.llm import license_scan as licenses
 from lodgecast.llm import near_dedup as near
 from lodgecast.llm import packing
 from lodgecast.llm import quality_rules as quality
 from lodgecast.llm import substring_dedup as substring
+from lodgecast.llm import token_counts as counts
 from lodgecast.llm import warc_fixity as warc
 from lodgecast.llm.scratch import written
 
@@ -134,3 +136,13 @@ def op3_warc_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.audit(warc.tree(records), warc.tree(damaged))
     ids = records.select("file", "nth", "page_id")
     return found.join(ids, ["file", "nth"]).select("page_id", "status")
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))

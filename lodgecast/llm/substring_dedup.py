@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgecast.llm.words import SECOND_BASE, mixed, rolling, rows, split_words, word_hashes
+from lodgecast.llm.words import SECOND_BASE, first_minima, mixed, rolling, rows, split_words, word_hashes
 
 WIDTH = 35
 ANCHOR = 8
@@ -36,21 +36,10 @@ _NAMES = ("bucket", "hashes", "owners", "places", "texts")
 _PLACES = "digest long, places binary"
 
 
-def _minima(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Place of the first smallest hash in every run of ``span`` hashes, by doubling the run's length."""
-    best, reach = np.arange(len(hashes)), 1
-    while reach < span:
-        step = min(reach, span - reach)
-        left, right = best[: len(best) - step], best[step:]
-        best = np.where(hashes[right] < hashes[left], right, left)
-        reach += step
-    return best
-
-
 def anchors(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchor place of each window, and the hashes of all runs that can be anchors."""
     runs = rolling(word_hashes(words), min(ANCHOR, width))
-    return _minima(runs, width - min(ANCHOR, width) + 1), runs
+    return first_minima(runs, width - min(ANCHOR, width) + 1), runs
 
 
 def _window_hashes(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -70,6 +70,17 @@ def rolling(values: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     return mixed((sums[width:] - sums[:n]) * _powers(base, n))
 
 
+def first_minima(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Place of the first smallest hash in every run of ``span`` hashes, by doubling the run's length."""
+    best, reach = np.arange(len(hashes)), 1
+    while reach < span:
+        step = min(reach, span - reach)
+        left, right = best[: len(best) - step], best[step:]
+        best = np.where(hashes[right] < hashes[left], right, left)
+        reach += step
+    return best
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Tuples of Python values, a few hundred rows at a time so that long texts do not pile up."""
     for batch in batches:
