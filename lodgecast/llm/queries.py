@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodgecast.llm import chat_format as chat
 from lodgecast.llm import decontamination as benchmark
 from lodgecast.llm import license_scan as licenses
+from lodgecast.llm import lm_score as lm
 from lodgecast.llm import near_dedup as near
 from lodgecast.llm import packing
 from lodgecast.llm import quality_rules as quality
@@ -146,3 +147,8 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_license_scan")
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
+
+
+@query("op7_masked_lm_score")
+def op7_masked_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.lm_score(table(spark, folder, "documents"))
