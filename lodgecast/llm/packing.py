@@ -12,8 +12,8 @@ may share an id or have none: pieces are told apart by all their columns, and eq
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,58 +27,83 @@ from lodgecast.llm.scratch import written
 CAPACITY = 1024
 CLOSING_ID = 2
 #: Texts parts whose ids a worker remembers, in each of two generations.
-REMEMBERED_PARTS = 250_000
+REMEMBERED_PARTS = 500_000
 #: Pieces that one numbering group holds.
 PIECES_PER_GROUP = 50_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_SPACE = "\\s\\u180e\\u200b-\\u200d\\ufeff"
-#: A space between two white-space characters, or before the end: there a cut at spaces could change the ids.
-_UNSAFE = re.compile(f"(?<=[{_SPACE}]) (?:[{_SPACE}]|\\Z)| \\Z")
+#: What a tokenizer may take for white space, beyond what Python does.
+_UNSAFE = object()
+_TAIL = ".,;:!?#$%&*"
+_ODD_SPACE = "\u180e\u200b\u200c\u200d\ufeff"
 
 
 class Encoder:
     """Ids of texts by a tokenizer whose pre-tokens never hold a space after another character.
 
     A text is cut before its spaces, and each distinct part is encoded once by a worker. That is the same as encoding the
-    text where no space stands between white space; all other texts are encoded whole.
+    text, unless a part that follows a space is empty or begins with white space: such a text is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_PARTS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.remembered = remembered
+        # Ids of a space and the part; no bytes at all where the part makes a text unsafe to cut.
+        self.young: dict[str, bytes | object] = {}
+        self.old: dict[str, bytes | object] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32).tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: set[str]) -> None:
         young, old = self.young, self.old
-        unknown = []
-        for part in {p for p in parts if p not in young}:
-            ids = old.get(part)
-            if ids is None:
-                unknown.append(part)
-            else:
-                young[part] = ids
-        young.update(zip(unknown, self._ids(unknown), strict=True))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if _UNSAFE.search(text):
-            return self._ids([text])[0]
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        self._learn(parts)
-        ids = b"".join([self.young[p] for p in parts])
-        if len(self.young) > REMEMBERED_PARTS:
-            self.old, self.young = self.young, {}
-        return ids
+        known = {p: old[p] for p in parts if p in old}
+        whole, split = [], []
+        for p in parts:
+            if p not in known:
+                # Letters and a run of punctuation after them are two pre-tokens, whatever stands around.
+                stem = p.rstrip(_TAIL)
+                if len(stem) < len(p) and stem.isalpha():
+                    split.append((p, stem, p[len(stem) :]))
+                else:
+                    whole.append(p)
+        young.update(known)
+        stems = {s for _, s, _ in split if s not in young}
+        young.update((s, old[s]) for s in stems if s in old)
+        whole.extend(s for s in stems if s not in young and s not in parts)
+        tails = [t for t in {t for _, _, t in split} if t not in self.tails]
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        young.update(zip(whole, self._ids([" " + p for p in whole]), strict=True))
+        young.update((p, _UNSAFE) for p in whole if not p or p[0].isspace() or p[0] in _ODD_SPACE)
+        young.update((p, young[s] + self.tails[t]) for p, s, t in split)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut = [text.split(" ") for text in texts]
+        heads = self._ids([parts.pop(0) for parts in cut])
+        found = [list(map(self.young.get, parts)) for parts in cut]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = {parts[i] for parts, gap in zip(cut, gaps, strict=True) for i in gap}
+        if new:
+            self._learn(new)
+        result = []
+        for text, head, parts, ids, gap in zip(texts, heads, cut, found, gaps, strict=True):
+            for i in gap:
+                ids[i] = self.young[parts[i]]
+            try:
+                result.append(head + b"".join(ids))
+            except TypeError:  # an unsafe part
+                result.append(self._ids([text])[0])
+        if len(self.young) > self.remembered:
+            self.old, self.young, self.tails = self.young, {}, {}
+        return result
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -104,8 +129,8 @@ def token_pieces(
             for at in range(0, batch.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 out = []
-                for id_, body in zip(ids, texts, strict=True):
-                    tokens = (encode(body) if body else b"") + closing
+                for id_, body in zip(ids, encode([t or "" for t in texts]), strict=True):
+                    tokens = body + closing
                     n = len(tokens) // 4
                     start = 0
                     for piece in range(-(-n // capacity)):
