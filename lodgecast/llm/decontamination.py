@@ -196,3 +196,22 @@ def contaminated(
         return chosen.mapInArrow(run, MATCH_SCHEMA)
 
     return reduce(DataFrame.union, [scan(b) for b in item_blocks(items, item_id, item_text, items_per_block)])
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, errors_percent: int = ERRORS_PERCENT, items_per_block: int = ITEMS_PER_BLOCK,
+    text: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; decided in the row, without a join."""
+    place = docs.columns.index(text)
+
+    def without(frame: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = _matcher(block, errors_percent).find
+            for batch in batches:
+                free = [next(find(plain(body)), None) is None for body in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(free, pa.bool_()))
+
+        return frame.mapInArrow(run, frame.schema)
+
+    return reduce(without, item_blocks(items, item_id, item_text, items_per_block), docs)

@@ -60,7 +60,9 @@ BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 def _shape(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Words, lines and the hashes of all word windows as arrays of the row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    shaped = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text")).select(
+    # The input row goes along whole; nothing of it is read unless a caller asks for it.
+    shaped = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("doc_id"), body.alias("_text")).select(
+        "_row",
         "doc_id",
         "_text",
         # One space between words lets the split by a single character skip the pattern engine.
@@ -115,7 +117,7 @@ def _stop_hashes() -> list[int]:
 
 
 def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of counts for each document.
+    """One row of counts for each document, beside the input row in ``_row``.
 
     ``n_repeat_words`` counts the words in windows of eight words that the text has at least twice.
     """
@@ -123,6 +125,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     starts = ordered.withColumn("_starts", _starts("_order"))
     lines = F.col("_lines")
     return starts.select(
+        "_row",
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
@@ -152,6 +155,15 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], doc_id: str, text: str) -> DataFrame:
+    base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    return (
+        measures(docs, doc_id, text)
+        .withColumn("base_failed", base)
+        .withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    )
+
+
 def quality_rules(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -159,9 +171,15 @@ def quality_rules(
 
     A text fails the base rules with fewer than 20 words, or if over 30 % of its words are in repeated windows.
     """
-    base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return (
-        measures(docs, doc_id, text)
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~F.col("base_failed") & compiled(rules))
-    )
+    return _judged(docs, rules, doc_id, text).drop("_row")
+
+
+def quality_filter(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; judged in the row, without a join."""
+    # The observation counts what is dropped. It also keeps the filter above the projections: pushed below them, the
+    # verdict would hold every array expression many times over.
+    counted = [F.count("*").alias("rows"), F.count_if("kept").alias("kept")]
+    judged = _judged(docs, rules, doc_id, text).select("_row", "kept").observe("quality_rules", *counted)
+    return judged.filter("kept").select("_row.*")

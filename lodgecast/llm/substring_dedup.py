@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodgecast.llm.words import SECOND_BASE, first_minima, mixed, rolling, rows, split_words, word_hashes
 
@@ -257,6 +258,30 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, chars_per_bucket: int
     return _repeated(windows, buckets)
 
 
+def _marked(docs: DataFrame, width: int, doc_id: str, text: str, chars_per_bucket: int) -> DataFrame:
+    """The rows of ``docs`` in ``_row``, their text, and the marks of the text."""
+    plain = docs.select(
+        F.struct("*").alias("_row"),
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
+    )
+    copies = plain.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
+    marks = repeated_windows(plain.drop("_row"), width, chars_per_bucket).join(copies, "digest", "full")
+    return plain.join(marks, "digest", "left")
+
+
+def _cut(words: list[bytes], places: bytes | None, copies: int | None, width: int) -> list[tuple[int, int]]:
+    if copies and len(words) >= width:
+        return [(0, len(words))]  # every window of a text with copies starts elsewhere too
+    return intervals(_unpacked(places), width)
+
+
+def _kept(words: list[bytes], cut: list[tuple[int, int]]) -> str:
+    edges = [0, *(e for c in cut for e in c), len(words)]
+    return b" ".join(w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]).decode()
+
+
 def substring_dedup(
     docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text",
     chars_per_bucket: int = CHARS_PER_BUCKET,
@@ -265,43 +290,48 @@ def substring_dedup(
 
     Kept words are joined by one space.
     """
-    plain = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.col(text).alias("text"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
-    )
-    copies = plain.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
-    marks = repeated_windows(plain, width, chars_per_bucket).join(copies, "digest", "full")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.string())
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
                 out = []
-                for id_, body, places, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for id_, body, places, copies in rows(iter([batch.slice(start, 256)])):
                     words = split_words(body)
-                    if n and len(words) >= width:
-                        cut = [(0, len(words))]  # every window of a text with copies starts elsewhere too
-                    else:
-                        cut = intervals(_unpacked(places), width)
-                    edges = [0, *(e for c in cut for e in c), len(words)]
-                    kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
-                    out.append((id_, len(words), [{"first": a, "end": b} for a, b in cut], b" ".join(kept).decode()))
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+                    cut = _cut(words, places, copies, width)
+                    out.append((id_, len(words), [{"first": a, "end": b} for a, b in cut], _kept(words, cut)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in out], pa.int64()),
-                        pa.array([r[1] for r in out], pa.int64()),
-                        pa.array([r[2] for r in out], kind),
-                        pa.array([r[3] for r in out], pa.string()),
-                    ],
+                    [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
                     ["doc_id", "n_words", "removed", "kept_text"],
                 )
 
     return (
-        plain.join(marks, "digest", "left")
+        _marked(docs, width, doc_id, text, chars_per_bucket)
         .select("doc_id", "text", "places", "copies")
         .mapInArrow(
             remove, "doc_id long, n_words long, removed array<struct<first:long,end:long>>, kept_text string"
         )
     )
+
+
+def remove_repeats(
+    docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text",
+    chars_per_bucket: int = CHARS_PER_BUCKET,
+) -> DataFrame:
+    """All rows and columns of ``docs``; texts that lose words have the rest joined by one space, others stay as is."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = []
+                for body, places, copies in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    words = split_words(body)
+                    cut = _cut(words, places, copies, width)
+                    texts.append(_kept(words, cut) if cut else body)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["_row", "_text"])
+
+    marked = _marked(docs, width, doc_id, text, chars_per_bucket).select("_row", "text", "places", "copies")
+    kind = StructType([marked.schema["_row"], StructField("_text", StringType())])
+    shortened = marked.mapInArrow(shorten, kind)
+    return shortened.select(*[F.col("_text" if c == text else f"_row.`{c}`").alias(c) for c in docs.columns])
