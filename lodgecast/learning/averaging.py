@@ -1,9 +1,10 @@
 """Data-parallel training by parameter averaging (Zinkevich et al., 2010).
 
-In each round every partition starts from the shared weights, makes one pass of mini-batch steps over
-its own rows and returns its weights; the next shared weights are their row-weighted mean. Rows stay
-where they are, a round moves one weight vector per partition, and the driver sees a bounded number
-of partial sums however many partitions there are.
+Rows are dealt into a fixed number of shards by a digest of their key. In each round every shard starts from the shared
+weights, makes one pass of mini-batch steps over its own rows and returns its weights; the next shared weights are their
+row-weighted mean, and the moments of the steps go along in the same way. What a shard does depends on its rows alone, so
+the result does not depend on how many partitions, tasks or machines there are; ``shards`` is a setting of the model, to
+be raised with the data. The driver gets one partial sum for each shard.
 """
 
 from collections.abc import Callable, Iterator
@@ -15,10 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgecast.functions.scalars import hash_uniform
+from lodgecast.functions.scalars import hash_number, hash_uniform
 
-PARTIAL_SUMS = 16
-_SCHEMA = "part int, rows double, loss double, weights binary"
+SHARDS = 8
+#: Rows of a shard that are held at a time; ``passes`` sweep over them.
+BLOCK_ROWS = 4096
+_SCHEMA = "rows double, loss double, state binary"
 
 # weights, features, labels -> mean loss, gradient
 Gradient = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
@@ -36,73 +39,89 @@ class Descent:
     patience: int = 30
 
 
-def training_rows(df: DataFrame, features: str = "features", label: str = "label", key: str = "id") -> DataFrame:
-    """Rows spread evenly in hash order and kept for the rounds to come, with their sparse vectors."""
-    rows = df.select(F.col(key).alias("id"), F.col(features).alias("features"), F.col(label).cast("double").alias("y"))
-    spread = rows.repartition("id").sortWithinPartitions(hash_uniform(F.col("id"), 5))
+def training_rows(
+    df: DataFrame, features: str = "features", label: str = "label", key: str = "id", shards: int = SHARDS
+) -> DataFrame:
+    """Rows dealt into shards, in hash order, and kept for the rounds to come, with their sparse vectors."""
+    rows = df.select(
+        F.col(key).alias("id"), F.col(features).alias("features"), F.col(label).cast("double").alias("y"),
+        (hash_number(F.col(key), 19) % shards).cast("int").alias("shard"),
+    )
+    spread = rows.repartition(shards, "shard").sortWithinPartitions("shard", hash_uniform(F.col("id"), 5), "id")
     return spread.persist()
 
 
 def arrays(rows: DataFrame) -> DataFrame:
     """Dense arrays for a pass over the rows; only a record batch of them exists at a time."""
-    return rows.select(vector_to_array("features").alias("x"), "y")
+    return rows.select("shard", vector_to_array("features").alias("x"), "y")
 
 
 def dense(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _round(rows: DataFrame, weights: np.ndarray, gradient: Gradient, settings: Descent, step: float,
-           merge: bool) -> tuple[np.ndarray, float]:
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+def _shard_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows of one shard at a time, cut every ``BLOCK_ROWS`` rows from the shard's first on."""
+    shard, xs, ys, held = None, [], [], 0
+    for batch in batches:
+        marks = batch.column("shard").to_numpy()
+        edges = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1], True]) if len(marks) else [0]
+        for start, end in zip(edges[:-1], edges[1:]):
+            if marks[start] != shard and held:
+                yield shard, np.concatenate(xs), np.concatenate(ys)
+                xs, ys, held = [], [], 0
+            shard = int(marks[start])
+            while start < end:
+                piece = batch.slice(start, min(end - start, BLOCK_ROWS - held))
+                xs.append(dense(piece.column("x")))
+                ys.append(piece.column("y").to_numpy())
+                held += piece.num_rows
+                start += piece.num_rows
+                if held == BLOCK_ROWS:
+                    yield shard, np.concatenate(xs), np.concatenate(ys)
+                    xs, ys, held = [], [], 0
+    if held:
+        yield shard, np.concatenate(xs), np.concatenate(ys)
+
+
+def _round(rows: DataFrame, state: np.ndarray, gradient: Gradient, settings: Descent,
+           step: float) -> tuple[np.ndarray, float]:
+    """Next state (weights, both moments, steps taken) and the mean loss on the way."""
+    shared = rows.sparkSession.sparkContext.broadcast(state)
     batch, passes = settings.batch_size, settings.passes
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value.copy()
-        first, second, t = np.zeros_like(w), np.zeros_like(w), 0
-        n, loss = 0, 0.0
-        for piece in batches:
-            x, y = dense(piece.column("x")), piece.column("y").to_numpy()
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"rows": [float(n)], "loss": [loss], "state": [(np.append(np.concatenate(own), t) * n).tobytes()]})
+
+        shard, own, n, loss, t = None, None, 0, 0.0, 0.0
+        for current, x, y in _shard_blocks(batches):
+            if current != shard:
+                if own is not None:
+                    yield made()
+                shard, own, n, loss = current, [part.copy() for part in np.split(shared.value[:-1], 3)], 0, 0.0
+                t = shared.value[-1]
+            w, first, second = own
             for sweep in range(passes):
                 for start in range(0, len(y), batch):
                     part = slice(start, start + batch)
                     value, slope = gradient(w, x[part], y[part])
                     t += 1
-                    first = 0.9 * first + 0.1 * slope
-                    second = 0.999 * second + 0.001 * slope * slope
+                    first *= 0.9
+                    first += 0.1 * slope
+                    second *= 0.999
+                    second += 0.001 * slope * slope
                     w -= step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
                     if sweep == 0:
                         loss += value * len(y[part])
             n += len(y)
-        if n:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([0], pa.int32()),
-                    "rows": [float(n)],
-                    "loss": [loss],
-                    "weights": [(w * n).tobytes()],
-                }
-            )
-
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_py()) for v in parts.column("weights"))
-        return pa.table(
-            {
-                "part": pa.array([parts.column("part")[0].as_py()], pa.int32()),
-                "rows": [float(sum(parts.column("rows").to_pylist()))],
-                "loss": [float(sum(parts.column("loss").to_pylist()))],
-                "weights": [total.tobytes()],
-            }
-        )
-
-    partial = arrays(rows).mapInArrow(local, _SCHEMA)
-    if merge:
-        spread = partial.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
-        partial = spread.groupBy("part").applyInArrow(add, _SCHEMA)
-    found = partial.collect()
+        if own is not None:
+            yield made()
+
+    found = arrays(rows).mapInArrow(local, _SCHEMA).collect()
     shared.destroy()
     n = sum(r["rows"] for r in found)
-    total = sum(np.frombuffer(bytes(r["weights"])) for r in found)
+    total = sum(np.frombuffer(bytes(r["state"])) for r in found)
     return total / n, sum(r["loss"] for r in found) / n
 
 
@@ -126,11 +145,13 @@ def descend(rows: DataFrame, start: np.ndarray, gradient: Gradient, settings: De
     With ``held_out`` rows their loss decides when to stop and which weights are kept. The step is cut
     to a fifth whenever the loss has not improved for half the patience.
     """
-    w, best_w, best, waited, step = start, start, float("inf"), 0, settings.learning_rate
+    size = len(start)
+    state = np.concatenate([start, np.zeros(2 * size + 1)])
+    best_w, best, waited, step = start, float("inf"), 0, settings.learning_rate
     history = []
-    merge = rows.rdd.getNumPartitions() > PARTIAL_SUMS
     for _ in range(settings.rounds):
-        w, loss = _round(rows, w, gradient, settings, step, merge)
+        state, loss = _round(rows, state, gradient, settings, step)
+        w = state[:size]
         watched = loss if held_out is None else _loss(held_out, w, gradient)
         history.append(watched)
         if watched < best - settings.tolerance:
@@ -143,4 +164,4 @@ def descend(rows: DataFrame, start: np.ndarray, gradient: Gradient, settings: De
             step /= 5.0
         if waited >= settings.patience:
             return (best_w if held_out is not None else w), history, True
-    return (best_w if held_out is not None else w), history, False
+    return (best_w if held_out is not None else state[:size]), history, False

@@ -15,7 +15,7 @@ from lodgecast.learning.tables import TableState
 from lodgecast.operators.metrics import cv_log_rmse
 from lodgecast.operators.voting import (
     candidates,
-    normalise_weights,
+    weight_shares,
     prediction_columns,
     weight_scores,
     weight_trials,
@@ -94,7 +94,7 @@ def choose(results: list[Tuned], window: float = S.ENSEMBLE_WINDOW) -> list[Tune
 
 def vote_equally(chosen: list[Tuned], test: DataFrame) -> Tuned:
     models = {r.name: r.pipeline for r in chosen}
-    model = VotingModel(models, normalise_weights(dict.fromkeys(models, 1.0)))
+    model = VotingModel(models, weight_shares(dict.fromkeys(models, 1.0)))
     columns = _columns(chosen)
     voted = columns.withColumn("prediction", weighted_sum(model.weights)).withColumn("model", F.lit("v"))
     value = cv_log_rmse(voted).first()["cv_rmse_log"]
@@ -111,7 +111,7 @@ def vote_by_weight(chosen: list[Tuned], test: DataFrame, trials: int, seed: int
     scores = weight_scores(_columns(chosen), list(models), draws)
     best = scores.orderBy("cv_rmse_log", "trial").first()
     raw = {r["model"]: r["weight"] for r in draws.filter(F.col("trial") == best["trial"]).collect()}
-    weights = normalise_weights({name: raw[name] for name in models})
+    weights = weight_shares({name: raw[name] for name in models})
     params = {**{f"weight_{n}": round(w, 6) for n, w in weights.items()}, "estimators": ",".join(models)}
     tuned = _scored("VotingEnsembleWeighted", best["cv_rmse_log"], params, VotingModel(models, weights), test)
     tuned.trials = [

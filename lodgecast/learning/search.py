@@ -1,6 +1,5 @@
 """Parameter search with K-fold cross-validation on encoded folds that are written once."""
 
-import json
 import math
 import time
 import uuid
@@ -196,11 +195,8 @@ def tune(model: str, encoded: Encoded, trials: int, seed: int = S.SEED, parallel
 
 
 def finish_line(model: str, trial: int, trials: int, value: float, best: float, elapsed: float, params: dict) -> str:
-    best_text = f"{best:.6f}" if math.isfinite(best) else "n/a"
-    return (
-        f"[{model}] trial {trial + 1}/{trials} finished elapsed={elapsed:.1f}s "
-        f"rmse_log={value:.6f} best={best_text} params={json.dumps(params, sort_keys=True)}"
-    )
+    lowest = f"{best:.4f}" if math.isfinite(best) else "none"
+    return f"{model}: trial {trial + 1} of {trials}, log RMSE {value:.4f} (lowest {lowest}), {elapsed:.1f} s, {params}"
 
 
 def trial_table(spark: SparkSession, trials: list[tuple]) -> DataFrame:

@@ -41,11 +41,6 @@ def assign_folds(df: DataFrame, folds: int = S.FOLDS, seed: int = S.SEED, key: s
     return df.withColumn("fold", fold)
 
 
-def assign_folds_unranked(df: DataFrame, folds: int = S.FOLDS, seed: int = S.SEED, key: str = "id") -> DataFrame:
-    """Add ``fold`` from the row key alone: no shuffle, sizes equal up to chance."""
-    return df.withColumn("fold", (hash_number(F.col(key), seed) % folds).cast("int"))
-
-
 def fraction_sample(df: DataFrame, share: float = S.SAMPLE_SHARE, seed: int = S.SEED, key: str = "id") -> DataFrame:
     """Exactly ``round(share * rows)`` rows (half to even), the first in hash order."""
     cut = hash_places(df, lambda total: [round(total * share)], key, seed)[0]

@@ -2,6 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,11 +43,11 @@ def vote_equal(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("id").agg(F.first("label").alias("label"), F.avg("prediction").alias("prediction"))
 
 
-def normalise_weights(raw: Mapping[str, float]) -> dict[str, float]:
-    total = sum(raw.values())
-    if total <= 0:
-        return {m: 1.0 / len(raw) for m in raw}
-    return {m: w / total for m, w in raw.items()}
+def weight_shares(weights: Mapping[str, float]) -> dict[str, float]:
+    """Weights as shares of one; all the same where no weight is above zero."""
+    values = np.array([*weights.values()], dtype=float)
+    shares = values / values.sum() if (values > 0).any() else np.full(len(values), 1.0 / len(values))
+    return dict(zip(weights, shares.tolist()))
 
 
 def weighted_sum(columns: Mapping[str, float]) -> Column:
@@ -59,7 +60,7 @@ def weighted_sum(columns: Mapping[str, float]) -> Column:
 
 def vote_weighted(predictions: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """Weighted mean of the models' predictions per listing."""
-    shares = normalise_weights(weights)
+    shares = weight_shares(weights)
     weight = F.lit(None).cast("double")
     for m, w in shares.items():
         weight = F.when(F.col("model") == m, F.lit(float(w))).otherwise(weight)
@@ -119,18 +120,3 @@ def best_so_far(trials: DataFrame) -> DataFrame:
     """Add the lowest score up to each trial; trials without a finite score do not count."""
     order = Window.partitionBy("model").orderBy("trial").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return trials.withColumn("best", F.min("value").over(order))
-
-
-def trial_log(trials: DataFrame, total: int) -> DataFrame:
-    """One finish line per trial, as the tuning job prints it."""
-    text = F.format_string(
-        "[%s] trial %d/%d finished elapsed=%.1fs rmse_log=%s best=%s params=%s",
-        F.col("model"),
-        F.col("trial") + 1,
-        F.lit(total),
-        F.col("elapsed_seconds"),
-        F.coalesce(F.format_string("%.6f", F.when(F.col("value").isNotNull(), F.col("value"))), F.lit("fail")),
-        F.when(F.col("best").isNull(), F.lit("n/a")).otherwise(F.format_string("%.6f", F.col("best"))),
-        F.col("params_json"),
-    )
-    return best_so_far(trials).select("model", "trial", text.alias("line"))

@@ -1,6 +1,9 @@
 """Session for local work and tests; on a cluster the submitted configuration wins."""
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,9 +26,16 @@ def local_session(cores: int | None = None, name: str = "lodgecast") -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for written tables; a local one only where none is named."""
+    """The cluster's shared folder for written tables, ``spark.checkpoint.dir``.
+
+    Where none is named, a single machine gets a local folder that goes with the process; a cluster is refused, as its
+    executors would each write to a disk of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="lodgecast-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -4,6 +4,7 @@ import json
 import uuid
 
 from pyspark.ml import PipelineModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,10 +109,12 @@ def read_metadata(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load_checkpoint(spark: SparkSession, folder: str, name: str, context: dict):
     """Metadata row and pipeline of a finished stage, or None when its context is another one."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/metadata/_SUCCESS")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    try:
+        matches = read_metadata(spark, folder, name)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    matches = read_metadata(spark, folder, name)
     for field in CONTEXT_FIELDS.split(", "):
         column = field.split()[0]
         matches = matches.filter(F.col(f"context.{column}").eqNullSafe(F.lit(context[column])))

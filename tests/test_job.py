@@ -31,7 +31,7 @@ def test_job_runs_reports_and_resumes(spark, small, tmp_path):
     assert all(math.isfinite(r.cv_rmse_log) and r.metrics["rmse"] >= r.metrics["mae"] for r in results)
     report = pd.concat(pd.read_csv(p) for p in (tmp_path / "new" / "metrics.csv").glob("*.csv"))
     assert report["model"].tolist() == names
-    assert any("trial 1/1 finished" in line for line in lines)
+    assert any("trial 1 of 1" in line for line in lines)
 
     settings.resume = True
     lines.clear()

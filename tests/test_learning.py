@@ -124,6 +124,18 @@ def test_network_gradient_matches_differences():
             assert slope[i] == pytest.approx((loss(flat + step, x, y)[0] - loss(flat - step, x, y)[0]) / 2e-6, abs=1e-5)
 
 
+def test_training_does_not_depend_on_partitions(spark):
+    """Two models, laid out in 1, 7 and 60 partitions: the same losses."""
+    _, _, rows = linear_data(spark, n=900)
+    for make in (
+        lambda: dense_net.DenseNetRegressor(hiddenLayers=[6], learningRate=0.02, batchSize=16, maxIter=3, passes=2),
+        lambda: kernel_svr.KernelTubeRegressor(C=1.0, epsilon=0.1, components=32, maxIter=3, batchSize=32),
+    ):
+        histories = [make().fit(rows.repartition(n)).history for n in (1, 7, 60)]
+        np.testing.assert_allclose(histories[1], histories[0], rtol=1e-6)
+        np.testing.assert_allclose(histories[2], histories[0], rtol=1e-6)
+
+
 def test_network_learns_clips_and_reloads(spark, tmp_path):
     _, y, rows = linear_data(spark)
     model = dense_net.DenseNetRegressor(hiddenLayers=[8], learningRate=0.02, batchSize=16, maxIter=15, activation="tanh").fit(rows)
