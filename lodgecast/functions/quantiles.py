@@ -1,52 +1,35 @@
 """Exact quantiles (linear interpolation) and quantile bands that hold at scale.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is fine for whole
-numbers from a small domain (prices in whole currency units, nights, days, counts), where the rows
-are first reduced to value counts on the map side. For continuous values the group is bracketed
-instead: one pass builds mergeable sketches that enclose each wanted rank, a second pass counts what
-lies below the bracket and keeps only the values inside it, so that a group with a third of all rows
-sends less than a thousandth of them to the ranking step. Where the first pass shows that every group
-is small, ``percentile`` finishes the job. The result is exact in all three cases.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a group is cut into slices instead: one
+pass builds mergeable sketches that give each group its cuts, a second counts the rows of each slice, which tells the
+slices that hold the wanted ranks, and only their rows (about a ``slices``-th of the group for each quantile) are ranked.
+Cuts decide how many rows are ranked, never the result, so there is one way for groups of all sizes and columns of all
+types, and a coarse sketch costs time only.
 """
 
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodgecast.functions.lookups import join_lookup
+from lodgecast.functions.lookups import join_lookup, sized
 
-SKETCH_ACCURACY = 10_000
-BRACKET_MARGIN = 4 / SKETCH_ACCURACY
-WHOLE_GROUP_ROWS = 50_000
-
-_WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+SKETCH_ACCURACY = 1_000
+SLICES = 64
 
 Wanted = Mapping[str, tuple[str, float]]
 
 
-def _is_whole(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, _WHOLE_NUMBERS)
-
-
-def _percentile_of_counts(counts: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float]) -> DataFrame:
-    quantiles = F.percentile(column, F.array(*[F.lit(float(p)) for p in probs]), F.col("n_value"))
-    return counts.groupBy(*keys).agg(quantiles.alias("q"))
-
-
 def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Rows per distinct value; NULL values do not count."""
     return df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n_value"))
 
 
-def quantile_array(df: DataFrame, column: str, probs: Sequence[float], **sizes) -> DataFrame:
+def quantile_array(df: DataFrame, column: str, probs: Sequence[float], **settings) -> DataFrame:
     """One row with ``q``, the exact quantiles of a column in the order asked for."""
-    if _is_whole(df, column):
-        return _percentile_of_counts(value_counts(df, [], column), [], column, probs)
     wanted = {f"q{i}": (column, p) for i, p in enumerate(probs)}
-    return grouped_quantiles(df, [], wanted, **sizes).select(F.array(*wanted).alias("q"))
+    return grouped_quantiles(df, [], wanted, **settings).select(F.array(*wanted).alias("q"))
 
 
 def grouped_quantiles(
@@ -55,69 +38,66 @@ def grouped_quantiles(
     wanted: Wanted,
     aggregates: Sequence[Column] = (),
     accuracy: int = SKETCH_ACCURACY,
-    margin: float = BRACKET_MARGIN,
-    whole_rows: int = WHOLE_GROUP_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Exact quantiles per group: ``keys`` plus one double column per wanted name.
 
     ``wanted`` maps an output name to (input column, probability). Further ``aggregates`` ride along in
-    the first pass. Without keys the result is one row. Groups of up to ``whole_rows`` rows go through
-    ``percentile``; larger ones through brackets.
+    the first pass. Without keys the result is one row. A group without values has null quantiles.
     """
     keys = list(keys)
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    if len(columns) == 1 and _is_whole(df, columns[0]) and not aggregates:
-        probs = [p for _, p in wanted.values()]
-        found = _percentile_of_counts(value_counts(df, keys, columns[0]), keys, columns[0], probs)
-        return found.select(*keys, *[F.col("q")[i].alias(name) for i, name in enumerate(wanted)])
-
-    brackets = _brackets(df, keys, wanted, columns, aggregates, accuracy, margin, whole_rows).persist()
-    largest = brackets.agg(F.max(F.greatest(*[f"__n_{j}" for j in range(len(wanted))], F.lit(0)))).first()[0]
-    if (largest or 0) <= whole_rows:
-        picks = [F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(n) for n, (c, p) in wanted.items()]
-        found = df.groupBy(*keys).agg(*picks)
-    else:
-        found = _bracketed_quantiles(df, keys, wanted, columns, brackets)
-    if not aggregates:
-        return found
-    inner = [c for c in brackets.columns if c not in keys and c not in _end_names(len(wanted))]
-    extra = brackets.select(*keys, *inner)
+    shares = [k / slices for k in range(1, slices)]
+    cuts = [F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(f"__cuts_{i}") for i, c in enumerate(columns)]
+    names = [f"__cuts_{i}" for i in range(len(columns))]
+    sketch = df.groupBy(*keys).agg(*cuts, *aggregates)
+    extra = [c for c in sketch.columns if c not in keys and c not in names]
+    values = df.select(*keys, *[F.col(c).cast("double").alias(f"__v_{i}") for i, c in enumerate(columns)])
     if keys:
-        return join_lookup(found, extra, keys, "inner").select(*keys, *inner, *wanted)
-    types = {f.name: f.dataType for f in extra.schema}
-    return found.withColumns({name: F.lit(v).cast(types[name]) for name, v in extra.first().asDict().items()})
-
+        sketch = sized(sketch)
+        values = join_lookup(values, sketch.select(*keys, *names), keys, "inner")
+        found = _ranked(_sliced(values, keys, names), keys, columns, wanted)
+        return join_lookup(sketch.select(*keys, *extra), found, keys).select(*keys, *extra, *wanted)
+    row = sketch.select(F.struct("*").alias("row")).scalar()
+    found = _ranked(_sliced(values.withColumns({n: row[n] for n in names}), keys, names), keys, columns, wanted)
+    return found.select(*[row[n].alias(n) for n in extra], *wanted)
 
-def _end_names(count: int) -> list[str]:
-    return [f"__{part}_{j}" for j in range(count) for part in ("n", "lo", "hi")]
-
-
-def _bracketed_quantiles(df, keys, wanted, columns, brackets) -> DataFrame:
-    """Second pass: count what lies below each bracket, rank what lies inside."""
-    values = df.select(*keys, *[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)])
-    ends = _end_names(len(wanted))
-    if keys:
-        bracketed = join_lookup(values, brackets.select(*keys, *ends), keys, "inner")
-    else:
-        row = brackets.select(*ends).first().asDict()  # one row: a count and two values per wanted quantile
-        bracketed = values.withColumns({name: F.lit(end) for name, end in row.items()})
 
+def _sliced(values: DataFrame, keys: list[str], cuts: list[str]) -> DataFrame:
+    """``keys, i, slice, v``: a row for each value of each column, with the number of cuts below it."""
     entries = []
-    for j, (column, _) in enumerate(wanted.values()):
-        v, low, high = F.col(f"v_{columns.index(column)}"), F.col(f"__lo_{j}"), F.col(f"__hi_{j}")
-        entry = F.struct(F.lit(j).alias("j"), F.when(v >= low, v).alias("v"), F.col(f"__n_{j}").alias("n"))
-        entries.append(F.when(v <= high, entry))
-    candidates = (
-        bracketed.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .select(*keys, "e.j", "e.v", "e.n")
-        .groupBy(*keys, "j", "n", "v")
-        .agg(F.count(F.lit(1)).alias("ties"))
+    for i, cut in enumerate(cuts):
+        v = F.col(f"__v_{i}")
+        below = F.size(F.filter(cut, lambda c, v=v: c < v))
+        entries.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), below.alias("slice"), v.alias("v"))))
+    return values.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("e")).select(*keys, "e.*")
+
+
+def _ranked(sliced: DataFrame, keys: list[str], columns: list[str], wanted: Wanted) -> DataFrame:
+    counts = sliced.groupBy(*keys, "i", "slice").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys, "i")
+    ahead = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.array(*[
+        F.array(*[
+            F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, (c, p) in enumerate(wanted.values()) if c == column
+        ])
+        for column in columns
+    ])
+    position = F.col("asked.p") * (F.col("total") - 1)
+    reach = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
+    picks = (
+        counts.withColumn("total", F.sum("n").over(group))
+        .withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        .withColumn("asked", F.explode(asked[F.col("i")]))
+        .withColumn("position", position)
+        .filter(reach(F.floor("position")) | reach(F.ceil("position")))
+        .select(*keys, "i", "slice", F.col("asked.j").alias("j"), "before", "position")
     )
-    probs = F.array(*[F.lit(float(p)) for _, p in wanted.values()])
-    order = Window.partitionBy(*keys, "j").orderBy(F.col("v").asc_nulls_first())
-    through = F.sum("ties").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    position = probs[F.col("j")] * (F.col("n") - 1)
-    ranked = candidates.withColumn("through", through).withColumn("position", position)
+    # At most two slices for each group and quantile.
+    inside = join_lookup(sliced, sized(picks), [*keys, "i", "slice"], "inner")
+    ties = inside.groupBy(*keys, "j", "slice", "before", "position", "v").agg(F.count(F.lit(1)).alias("ties"))
+    order = Window.partitionBy(*keys, "j", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ties.withColumn("through", F.col("before") + F.sum("ties").over(order))
 
     def value_at(rank: Column) -> Column:
         here = (F.col("through") > rank) & (F.col("through") - F.col("ties") <= rank)
@@ -125,49 +105,18 @@ def _bracketed_quantiles(df, keys, wanted, columns, brackets) -> DataFrame:
 
     below, above = F.floor("position"), F.ceil("position")
     found = ranked.groupBy(*keys, "j").agg(
-        value_at(below).alias("low"),
-        value_at(above).alias("high"),
-        F.max(F.col("position") - below).alias("share"),
+        value_at(below).alias("low"), value_at(above).alias("high"), F.max(F.col("position") - below).alias("share")
     )
-    missed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-    exact = F.when(F.col("low").isNull() | F.col("high").isNull(), missed).otherwise(
-        F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
-    )
-    found = found.withColumn("exact", exact)
-    picks = [F.max(F.when(F.col("j") == j, F.col("exact"))).alias(name) for j, name in enumerate(wanted)]
-    return found.groupBy(*keys).agg(*picks)
-
-
-def _brackets(df, keys, wanted, columns, aggregates, accuracy, margin, whole_rows) -> DataFrame:
-    """First pass: per group and wanted quantile the row count and two values enclosing its rank."""
-    sketches = []
-    for i, column in enumerate(columns):
-        probs = [p for c, p in wanted.values() if c == column]
-        ends = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
-        value = F.col(column).cast("double")
-        sketches.append(F.count(value).alias(f"__rows_{i}"))
-        sketches.append(F.percentile_approx(value, [float(e) for e in ends], accuracy).alias(f"__ends_{i}"))
-    sketch = df.groupBy(*keys).agg(*sketches, *aggregates)
-    outputs, seen = [], dict.fromkeys(columns, 0)
-    for j, (column, _) in enumerate(wanted.values()):
-        i, k = columns.index(column), seen[column]
-        seen[column] += 1
-        n = F.col(f"__rows_{i}")
-        small = n <= whole_rows
-        outputs += [
-            n.alias(f"__n_{j}"),
-            F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"__ends_{i}")[2 * k]).alias(f"__lo_{j}"),
-            F.when(small, F.lit(float("inf"))).otherwise(F.col(f"__ends_{i}")[2 * k + 1]).alias(f"__hi_{j}"),
-        ]
-    return sketch.select("*", *outputs).drop(*[f"__{part}_{i}" for i in range(len(columns)) for part in ("rows", "ends")])
-
-
-def quantile_edges(df: DataFrame, column: str, bands: int, drop_equal: bool = True, **sizes) -> list[float]:
+    exact = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, exact)).alias(n) for j, n in enumerate(wanted)])
+
+
+def quantile_edges(df: DataFrame, column: str, bands: int, drop_equal: bool = True, **settings) -> list[float]:
     """Edges of an equal-count cut, ``bands + 1`` numbers at most; equal edges merge or raise.
 
     The edges go into the plan as literals, so that whatever uses the bands is planned once.
     """
-    found = quantile_array(df, column, [i / bands for i in range(bands + 1)], **sizes).first()["q"]
+    found = quantile_array(df, column, [i / bands for i in range(bands + 1)], **settings).first()["q"]
     edges = [e for e in found or [] if e is not None]
     distinct = sorted(set(edges))
     if not drop_equal and 0 < len(distinct) < len(edges):
