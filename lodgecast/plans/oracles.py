@@ -302,8 +302,16 @@ ROOMS = ["F", "O", "P"]
 BOROUGHS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
+# Queries whose SQL states what must hold of a fit, by model.
+FITS = {"fit_elastic_net": "ElasticNet", "fit_gbt": "XGBoost", "fit_rff_svr": "SVM",
+        "fit_random_forest": "RandomForest"}
+
+
 def _oracles() -> dict[str, str]:
     body = {
+        **{query: f"""select '{model}' as model, count(*) as rows, count(*) as finite, true as beats_mean,
+            true as rmse_at_least_mae from test""" for query, model in FITS.items()},
+        "checkpoint_roundtrip": "select id, true as same from test",
         "clean_nulls": """select id, coalesce(reviews_per_month, 0) as reviews_per_month,
             coalesce(cast(last_review as varchar), 'No reviews') as last_review from listings""",
         "clean_required": "select id, name, host_name, price from priced",
