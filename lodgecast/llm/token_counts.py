@@ -45,8 +45,10 @@ class Trie:
     """Prefixes of pre-tokens with their forward score, last piece and token count."""
 
     def __init__(self, scores: dict[bytes, float], max_nodes: int = MAX_NODES):
-        self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores))
+        self.max_nodes = max_nodes
+        # All ends of pieces; those that are pieces have a score. No piece ends like a text that is not among them.
+        self.ends: dict[bytes, float | None] = {p[k:]: None for p in scores for k in range(len(p))}
+        self.ends.update(scores)
         self.terminals: dict[bytes, tuple[int, float]] = {}
         self._clear()
 
@@ -63,15 +65,18 @@ class Trie:
     def insert(self, word: bytes) -> tuple[int, float]:
         if len(self.score) > self.max_nodes:
             self._clear()
-        children, score, count, scores = self.children, self.score, self.count, self.scores
+        children, score, count, ends = self.children, self.score, self.count, self.ends
         path = [0]
         for end, byte in enumerate(word, 1):
             key = path[-1] << 8 | byte
             node = children.get(key)
             if node is None:
                 best, pieces = -math.inf, 0
-                for begin in range(max(0, end - self.longest), end):
-                    piece = scores.get(word[begin:end])
+                for begin in range(end - 1, -1, -1):
+                    part = word[begin:end]
+                    if part not in ends:
+                        break
+                    piece = ends[part]
                     if piece is not None:
                         total = score[path[begin]] + piece
                         # Of equal scores the fewest pieces, so that counts do not depend on the order of words.
