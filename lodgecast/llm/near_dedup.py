@@ -58,12 +58,13 @@ def minima(found: np.ndarray) -> np.ndarray:
 def bands(least: np.ndarray) -> tuple[list[int], list[int]]:
     """Hashes of the bands of the two collections."""
     cut = FIRST * FIRST_ROWS
-    first = rolling_rows(least[:cut].reshape(FIRST, FIRST_ROWS))
-    second = rolling_rows(least[cut:].reshape(SECOND, SECOND_ROWS))
+    first = _row_hashes(least[:cut].reshape(FIRST, FIRST_ROWS))
+    second = _row_hashes(least[cut:].reshape(SECOND, SECOND_ROWS))
     return first, second
 
 
-def rolling_rows(table: np.ndarray) -> list[int]:
+def _row_hashes(table: np.ndarray) -> list[int]:
+    """One hash for each row, which also depends on the row's place."""
     total = np.arange(1, len(table) + 1, dtype=np.uint64)
     for column in table.T:
         total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + column)

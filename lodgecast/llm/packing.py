@@ -26,7 +26,7 @@ from lodgecast.llm.scratch import written
 
 CAPACITY = 1024
 CLOSING_ID = 2
-#: Texts parts whose ids a worker remembers, in each of two generations.
+#: Parts of texts whose ids a worker remembers, in each of two generations.
 REMEMBERED_PARTS = 500_000
 #: Pieces that one numbering group holds.
 PIECES_PER_GROUP = 50_000
