@@ -2,8 +2,9 @@
 
 Texts and templates are compared as words: lower case, outer punctuation removed. Of the hashes of all three-word runs,
 the smallest in every ``WINNOW`` neighbours is a fingerprint, so a shared passage of ``RUN + WINNOW - 1`` words always
-shares one. The inverted index holds the fingerprints of all templates; a text's hits on one template that lie on near
-diagonals are one candidate, which an alignment within a band around these diagonals accepts or not.
+shares one. Templates shorter than that are looked up in all runs of a text, so that a line of ``RUN`` words is found
+wherever it stands. The inverted index holds the fingerprints of all templates; a text's hits on one template that lie on
+near diagonals are one candidate, which an alignment within a band around these diagonals accepts or not.
 
 Null and empty texts match nothing. Every match is a row: the same notice twice in a text gives two rows, repeated rows
 of the input repeat, a null id stays null. Other columns are ignored. Templates are a parameter; they are code, not data.
@@ -75,6 +76,7 @@ TEMPLATES: dict[str, str] = {
     ),
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "All rights reserved line": "All rights reserved.",
     "All rights reserved": "Copyright. All rights reserved. No part may be reproduced without permission.",
 }
 
@@ -87,13 +89,9 @@ def normal_words(text: str | None) -> list[bytes]:
     return [w.strip(_OUTER) for w in text.encode().lower().split()] if text else []
 
 
-def fingerprints(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the winnowed three-word runs."""
-    runs = rolling(word_hashes(words), RUN)
-    if not len(runs):
-        return runs, np.zeros(0, np.int64)
-    places = np.unique(first_minima(runs, min(WINNOW, len(runs))))
-    return runs[places], places
+def winnowed(runs: np.ndarray) -> np.ndarray:
+    """Places of the fingerprints among the hashes of all runs of a text."""
+    return np.unique(first_minima(runs, min(WINNOW, len(runs)))) if len(runs) else np.zeros(0, np.int64)
 
 
 def aligned(template: list[bytes], text: list[bytes], low: int, high: int) -> tuple[int, int, int]:
@@ -125,18 +123,24 @@ class Index:
         self.coverage = coverage_percent
         self.templates = [(name, normal_words(body)) for name, body in templates.items()]
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        short: set[int] = set()
         for t, (_, words) in enumerate(self.templates):
-            for h, place in zip(*fingerprints(words), strict=True):
-                postings[int(h)].append((t, int(place)))
+            runs = rolling(word_hashes(words), RUN)
+            for place in winnowed(runs).tolist():
+                postings[int(runs[place])].append((t, place))
+                if len(words) < RUN + WINNOW - 1:
+                    short.add(int(runs[place]))
         self.postings = dict(postings)
         self.known = np.array(sorted(self.postings), np.uint64)
+        self.short = np.array(sorted(short), np.uint64)
 
     def find(self, text: str | None) -> list[tuple[str, int, float, int, int]]:
         words = normal_words(text)
-        hashes, places = fingerprints(words)
-        hit = np.isin(hashes, self.known)
+        runs = rolling(word_hashes(words), RUN)
+        chosen = winnowed(runs)
+        hit = np.union1d(chosen[np.isin(runs[chosen], self.known)], np.flatnonzero(np.isin(runs, self.short)))
         diagonals: dict[int, set[int]] = defaultdict(set)
-        for h, place in zip(hashes[hit].tolist(), places[hit].tolist(), strict=True):
+        for h, place in zip(runs[hit].tolist(), hit.tolist(), strict=True):
             for t, at in self.postings[h]:
                 diagonals[t].add(place - at)
         found = []

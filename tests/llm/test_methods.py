@@ -199,6 +199,18 @@ def test_license_query(spark, small, texts):
     assert found == {i for i, t in texts.items() if any(x in " ".join((t or "").lower().split()) for x in lines)}
 
 
+def test_license_line_of_three_words(spark, small, texts):
+    """The bare line is found in every document that has it, whatever words stand around it."""
+    found = {r["doc_id"] for r in rows_of(spark, "op5_license_scan", small) if r["template"] == "All rights reserved line"}
+    want = {i for i, t in texts.items() if "all rights reserved." in " ".join((t or "").lower().split())}
+    assert want and found == want
+    find = licenses.Index(licenses.TEMPLATES, licenses.COVERAGE_PERCENT).find
+    for k in range(200):
+        assert find(f"one{k} two{k} three{k} All rights reserved. four{k} five{k} six{k}") == [
+            ("All rights reserved line", 3, 1.0, 3, 6)
+        ]
+
+
 def test_near_dedup(spark, small, texts):
     want = brute.near_components(texts)
     found = rows_of(spark, "op6_minhash_near_dedup", small)
