@@ -5,9 +5,9 @@ consecutive outputs compared: what a prefix adds is its last turn's span. A seco
 by a probe, shows where in the span the text lies, escapes included. If an output does not begin with the one before it,
 the template rewrites history: the turn is marked and its piece replaces what came after ``start``.
 
-Turns arrive sorted by conversation and are held in a window, so a conversation of any length streams through bounded
-memory. When the window is full it restarts from its last turns, provided that they add there what they added before; a
-template that looks back further keeps its whole prefix instead, which is exact but grows with the conversation.
+Turns arrive sorted by conversation. A template declared ``turn_local`` is held in a window, so that a conversation of any
+length streams through bounded memory: when the window is full it restarts from its last turns. For every other template
+the whole prefix is rendered at each turn, which is exact but grows with the conversation.
 
 Null texts and roles are empty. Turns are ordered by turn number (null first), then role and text, so ties have one
 order; repeated rows are repeated turns. Rows without a conversation id form one conversation. Other columns are ignored.
@@ -51,6 +51,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def turn_local(template: Template) -> Template:
+    """Declare that a template writes each turn alone, whatever the turns around it, and nothing else."""
+    template.turn_local = True
+    return template
+
+
+@turn_local
 def marked_template(turns: list[Turn]) -> str:
     """The production template: each turn between markers that no escaped text contains."""
     return "".join(f"{TURN}{escape(role)}{BODY}{escape(text)}{END}" for role, text in turns)
@@ -69,7 +76,7 @@ class Prefixes:
         self.turns: list[Turn] = []
         self.output = template([])
         self.before = 0  # characters that lie before the window's own output
-        self.local = True
+        self.local = getattr(template, "turn_local", False)
 
     def add(self, turn: Turn) -> tuple[str, int, int, int, bool]:
         """(piece, start, first, end, rewrites): the piece replaces the output from ``start`` on, the text is at
@@ -92,13 +99,11 @@ class Prefixes:
 
     def _restart(self) -> None:
         tail = self.turns[-self.context :]
-        shorter, whole = self.template(tail[:-1]), self.template(tail)
-        added = self.output[len(self.template(self.turns[:-1])) :]
-        if whole.startswith(shorter) and whole[len(shorter) :] == added:
-            self.before += len(self.output) - len(whole)
-            self.turns, self.output = tail, whole
-        else:
-            self.local = False
+        whole = self.template(tail)
+        if not self.output.endswith(whole):
+            raise ValueError("the template is declared turn_local but its turns depend on those before")
+        self.before += len(self.output) - len(whole)
+        self.turns, self.output = tail, whole
 
 
 _PIECES = (

@@ -125,6 +125,34 @@ def test_prefixes_of_templates(window):
     assert [prefixes.add(t)[4] for t in turns] == [False] + [True] * 10
 
 
+@pytest.mark.parametrize("n", [45, 80])
+def test_prefixes_of_templates_beyond_the_window(n):
+    """Only a template declared turn-local may restart; others are rendered with every turn, however many there are."""
+
+    def last_forty(turns):
+        return chat.marked_template(turns[-40:])
+
+    def system_in_last_user(turns):
+        last = max((k for k, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        said = turns[0][1] if turns else ""
+        return "".join(f"[{r}:{said + ' ' if k == last else ''}{t}]" for k, (r, t) in enumerate(turns) if k)
+
+    turns = [("system", "be kind")] + [("user" if k % 2 else "assistant", f"text {k}") for k in range(1, n)]
+    for template in (last_forty, system_in_last_user):
+        prefixes, whole = chat.Prefixes(template), ""
+        for k, turn in enumerate(turns):
+            piece, start, _, _, changed = prefixes.add(turn)
+            assert changed == (not template(turns[: k + 1]).startswith(template(turns[:k])))
+            whole = whole[:start] + piece
+            assert whole == template(turns[: k + 1])
+    prefixes = chat.Prefixes(chat.marked_template)
+    assert all(not prefixes.add(t)[4] and len(prefixes.turns) <= chat.WINDOW_TURNS for t in turns)
+    with pytest.raises(ValueError, match="turn_local"):
+        prefixes = chat.Prefixes(chat.turn_local(system_in_last_user))
+        for turn in turns:
+            prefixes.add(turn)
+
+
 def test_warc_round_trip_and_damage(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     records = written(warc.archive(pages, max_file_bytes=100_000), "archive")
