@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood: a window network predicts every word from the two words on either side.
 
-Words are hashed into ``CELLS`` cells, and cells into ``CLASSES * MEMBERS`` groups. A document's score is the sum over
-its words of log P(group | words on both sides) + log P(cell | group): the network gives the first, corpus counts the
-second, so every word has a probability. The group's probability is a class and a member of the class, two small softmax
-layers, which keeps a word's cost at ``CLASSES + MEMBERS`` outputs.
+Every distinct word of the corpus has its own count, in a table that is joined to the words of each block of texts. Words
+fall into ``CLASSES * MEMBERS`` groups by their counts: a frequent word is a group of its own, rarer ones share a group of
+about the same mass. A document's score is the sum over its words of log P(group | words on both sides) + log P(word |
+group): the network gives the first, the counts the second, so every word has a probability. The group's probability is
+a class and a member of the class, two small softmax layers, which keeps a word's cost at ``CLASSES + MEMBERS`` outputs.
 
 Training is in numpy inside tasks and covers every document once: the corpus is dealt by a digest of id and text into
-``rounds`` parts, the gradient of each part is summed over its words in all tasks, and the driver takes one Adam step with
-the mean. Neither steps nor their sizes depend on the number of partitions. Counts and gradients are summed in Spark by
-slices; what reaches the driver has a fixed size: one count for each cell, ``SLICES`` gradients.
+parts of about ``PART_WORDS`` words (``rounds`` parts at least), the gradient of each part is summed over its words in all
+tasks, and the driver takes one Adam step with the mean. So steps grow with the corpus; neither they nor their sizes
+depend on the number of partitions. Gradients are summed in Spark by slices. What reaches the driver is ``SLICES``
+gradients, and for each distinct count the number of words that have it, at most about the root of twice the corpus.
 
 Null and empty texts have no words and score 0. Each row gives one row, a null id stays null; repeated rows repeat and
 count as often. An empty table trains nothing and gives no rows. Other columns are ignored.
@@ -34,6 +36,9 @@ EDGE = GROUPS  # stands for what lies outside the text
 SIDE = 2
 EMBEDDING, HIDDEN = 12, 24
 ROUNDS = 24
+PART_WORDS = 1 << 21
+VOCABULARY_WORDS = 1 << 18  # words of a block of texts whose distinct words are looked up together
+PIECES = 8  # files of a part
 RATE = 0.1
 SLICES = 64
 BLOCK = 16_384
@@ -130,13 +135,13 @@ def forward(model: dict, target: np.ndarray, around: np.ndarray, gradient: dict
     return result
 
 
-def _blocks(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows (..., cells) in blocks of about ``BLOCK`` words; longer texts come alone."""
+def _blocks(texts: Iterator[tuple], size: int = BLOCK) -> Iterator[list[tuple]]:
+    """Rows (..., words) in blocks of about ``size`` words, an empty text as one; longer texts end a block."""
     held, n = [], 0
     for row in texts:
         held.append(row)
-        n += len(row[-1])
-        if n >= BLOCK:
+        n += max(1, len(row[-1]))
+        if n >= size:
             yield held
             held, n = [], 0
     if held:
@@ -164,6 +169,109 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, part int, cells binary")
 
 
+_BLOCK_ROWS = (
+    "block long, ids array<long>, digests array<long>, sizes array<long>, vocabulary binary, tallies binary, codes binary"
+)
+
+
+def word_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of texts: the hashes and tallies of their distinct words, and all words as places among these.
+
+    docs: doc_id, digest, text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in _BLOCK_ROWS.split(", ")]
+        longs = pa.list_(pa.int64())
+        kinds = [pa.int64(), longs, longs, longs, pa.binary(), pa.binary(), pa.binary()]
+        texts = ((i, digest, word_hashes(split_words(text))) for i, digest, text in rows(batches))
+        block = TaskContext.get().partitionId() << 32
+        for held in _blocks(texts, VOCABULARY_WORDS):
+            ids, digests, words = zip(*held, strict=True)
+            own, codes, tallies = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            row = (
+                block, ids, digests, [len(w) for w in words], own.tobytes(), tallies.astype(np.int64).tobytes(),
+                codes.astype(np.int32).tobytes(),
+            )
+            block += 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+    return docs.mapInArrow(run, _BLOCK_ROWS)
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """A row for each distinct word of each block: block, place, word, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, vocabulary, tallies in rows(batches):
+            word = np.frombuffer(vocabulary, np.int64)
+            for a in range(0, len(word), BLOCK):
+                own = word[a : a + BLOCK]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(own), block)), pa.array(np.arange(a, a + len(own), dtype=np.int32)),
+                        pa.array(own), pa.array(np.frombuffer(tallies, np.int64)[a : a + BLOCK]),
+                    ],
+                    ["block", "place", "word", "n"],
+                )
+
+    chosen = blocks.select("block", "vocabulary", "tallies")
+    return chosen.mapInArrow(run, "block long, place int, word long, n long")
+
+
+def groups_by_count(totals: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each distinct count and words of the corpus in each group.
+
+    totals: distinct counts, ascending; holders: the number of words that have each. From the highest count down a group
+    is closed once it holds its share of what is left for the groups that are left.
+    """
+    group, mass = np.zeros(len(totals), np.int32), np.zeros(GROUPS, np.int64)
+    left, at = int((totals * holders).sum()), 0
+    for k in range(len(totals) - 1, -1, -1):
+        group[k] = at
+        mass[at] += totals[k] * holders[k]
+        if at < GROUPS - 1 and mass[at] * (GROUPS - at) >= left:
+            left -= int(mass[at])
+            at += 1
+    return group, mass
+
+
+def grouped(blocks: DataFrame, pairs: DataFrame, words: DataFrame, totals, group, mass, rounds: int) -> DataFrame:
+    """doc_id, part, cells (groups of the words) and inside (sum of log P(word | group)) of every row.
+
+    words: word, total.
+    """
+    found = pairs.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "total")).alias("found"))
+    inside = np.log(np.maximum(totals, 1) / mass[group])
+    shared = blocks.sparkSession.sparkContext.broadcast((totals, group, inside))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, groups, logs = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, digests, sizes, codes, own = (column[k] for column in batch.columns)
+                sizes, codes = sizes.values.to_numpy(), np.frombuffer(codes.as_py(), np.int32)
+                at = np.zeros(0, np.int64)
+                if own.is_valid:
+                    at = np.zeros(len(own.values), np.int64)
+                    place, total = own.values.flatten()
+                    at[place.to_numpy()] = np.searchsorted(values, total.to_numpy())
+                at = at[codes]
+                edges = np.r_[0, np.cumsum(sizes)]
+                sums = np.diff(np.r_[0, np.cumsum(logs[at])][edges])
+                cells_ = [groups[at[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                part = pa.array(digests.values.to_numpy() % rounds, pa.int32())
+                piece = pa.array((digests.values.to_numpy() >> 32) % PIECES, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.values, part, piece, pa.array(cells_, pa.binary()), pa.array(sums)],
+                    ["doc_id", "part", "piece", "cells", "inside"],
+                )
+
+    joined = blocks.join(found, "block", "left").select("ids", "digests", "sizes", "codes", "found")
+    placed = joined.mapInArrow(run, "doc_id long, part int, piece int, cells binary, inside double")
+    return placed.repartition("part", "piece").drop("piece")
+
+
 def _summed(frame: DataFrame, kind: str) -> DataFrame:
     """Sums of the vectors ``values`` by slot; a task holds one vector at a time."""
 
@@ -249,8 +357,27 @@ def train(corpus: DataFrame, group_counts: np.ndarray, rounds: int = ROUNDS, rat
     return flat
 
 
+def score_grouped(corpus: DataFrame, flat: np.ndarray) -> DataFrame:
+    """doc_id, n_words and summed log-probability of every row of a grouped corpus."""
+    shared = corpus.sparkSession.sparkContext.broadcast(flat)
+    schema = "doc_id long, n_words long, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = unflat(shared.value)
+        for block in _blocks((id_, inside, np.frombuffer(x, np.int32)) for id_, inside, x in rows(batches)):
+            ids, inside, texts = zip(*block, strict=True)
+            sizes = np.array([len(t) for t in texts])
+            found = _by_blocks(model, list(texts), None)
+            sums = np.diff(np.r_[0, np.cumsum(found, dtype=np.float64)][np.r_[0, np.cumsum(sizes)]]) + np.array(inside)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums)], ["doc_id", "n_words", "score"]
+            )
+
+    return corpus.select("doc_id", "inside", "cells").mapInArrow(run, schema)
+
+
 def score(corpus: DataFrame, flat: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_words and summed log-probability of every row of an encoded corpus."""
+    """As ``score_grouped``, for words hashed into cells: a form of fixed size, for samples."""
     spread = counts + 0.5
     groups = np.bincount(np.arange(CELLS) % GROUPS, spread, GROUPS)
     inside = np.log(spread / groups[np.arange(CELLS) % GROUPS]).astype(np.float32)
@@ -278,11 +405,17 @@ def lm_score(
     """doc_id, n_words, score and mean_score (null without words) of every row of ``docs``."""
     chosen = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(rounds)).cast("int").alias("part"),
+        F.xxhash64(F.col(doc_id), F.col(text)).alias("digest"),
         F.col(text).alias("text"),
     )
-    corpus = written(encoded(chosen), "encoded", "part")
-    counts = cell_counts(corpus)
-    flat = train(corpus, np.bincount(np.arange(CELLS) % GROUPS, counts, GROUPS), rounds, rate)
-    found = score(corpus, flat, counts)
+    blocks = written(word_blocks(chosen), "blocks")
+    pairs = block_words(blocks)
+    words = written(pairs.groupBy("word").agg(F.sum("n").alias("total")), "words")
+    found = sorted(tuple(r) for r in words.groupBy("total").count().collect())
+    totals, holders = np.array(found, np.int64).reshape(-1, 2).T
+    group, mass = groups_by_count(totals, holders)
+    rounds = max(rounds, -(-int(mass.sum()) // PART_WORDS))
+    corpus = written(grouped(blocks, pairs, words, totals, group, mass, rounds), "grouped", "part")
+    flat = train(corpus, mass, rounds, rate)
+    found = score_grouped(corpus, flat)
     return found.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

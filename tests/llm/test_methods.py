@@ -315,6 +315,40 @@ def test_masked_model_learns_and_does_not_depend_on_partitions(spark):
     assert mean(trained) > mean(plain) + 0.05
 
 
+def test_masked_model_counts_every_word(spark, small, texts, monkeypatch):
+    """Probabilities inside groups come from exact counts of distinct words, and steps grow with the corpus."""
+    steps = []
+    real = lm.train
+
+    def train(corpus, mass, rounds, rate):
+        rows = corpus.collect()
+        steps.append((rounds, mass, {r["doc_id"]: (np.frombuffer(r["cells"], np.int32), r["inside"]) for r in rows}))
+        return real(corpus, mass, 1, rate)
+
+    monkeypatch.setattr(lm, "train", train)
+    monkeypatch.setattr(lm, "PART_WORDS", 1_000)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    lm.lm_score(docs, rounds=2).collect()
+    rounds, mass, found = steps[0]
+    split = {i: brute.words(t) for i, t in texts.items()}
+    n = defaultdict(int)
+    for own in split.values():
+        for w in own:
+            n[w] += 1
+    total = sum(n.values())
+    assert rounds == -(-total // 1_000) and mass.sum() == total
+    group = {}
+    for i, own in split.items():
+        cells, inside = found[i]
+        assert len(cells) == len(own)
+        for w, g in zip(own, cells.tolist(), strict=True):
+            assert group.setdefault(w, g) == g
+        want = sum(math.log(n[w] / mass[g]) for w, g in zip(own, cells.tolist(), strict=True))
+        assert math.isclose(inside, want, abs_tol=1e-6)
+    for g in set(group.values()):
+        assert mass[g] == sum(n[w] for w, own in group.items() if own == g)
+
+
 def test_substring_dedup(spark, small, texts):
     want = {i: brute.substring_row(*x) for i, x in brute.removed_words(texts).items()}
     found = rows_of(spark, "op9_substring_dedup", small)
