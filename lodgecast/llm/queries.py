@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgecast.llm import chat_format as chat
+from lodgecast.llm import cross_tokenizer as cross
 from lodgecast.llm import decontamination as benchmark
+from lodgecast.llm import hard_negatives as negatives
 from lodgecast.llm import license_scan as licenses
+from lodgecast.llm import line_dedup as lines
 from lodgecast.llm import lm_score as lm
 from lodgecast.llm import near_dedup as near
 from lodgecast.llm import packing
@@ -152,3 +155,66 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_masked_lm_score")
 def op7_masked_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm.lm_score(table(spark, folder, "documents"))
+
+
+_LINES_SQL = r"""
+with lines as (
+  select doc_id, i, l[i] as line,
+         translate(trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, l, unnest(range(1, len(l) + 1)) as i
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))
+), keys as (
+  select key, min(doc_id) as keeper, count(distinct doc_id) as n from lines where length(key) >= 10 group by key
+), judged as (
+  select doc_id, i, line, coalesce(n >= 2 and doc_id <> keeper, false) as gone from lines left join keys using (key)
+)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@query("op11_line_dedup", _LINES_SQL)
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op12_cross_tokenizer")
+def op12_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    vocabularies = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return cross.cross_align(table(spark, folder, "documents"), *vocabularies)
+
+
+_NEGATIVES_SQL = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+), scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from usable a join usable r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+), good as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+       (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from good join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
+
+@query("op13_hard_negatives", _NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("label").cast("long"), "embedding")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    ready = rows.filter(finite).select("vec_id", label.alias("label"), vector.alias("embedding"))
+    return negatives.hard_negatives(ready, F.col("vec_id") % 100 == 0)
