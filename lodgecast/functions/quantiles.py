@@ -1,22 +1,27 @@
-"""Exact quantiles (linear interpolation) and quantile bands that hold at scale.
+"""Exact quantiles (linear interpolation) and quantile bands by radix selection.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a group is cut into slices instead: one
-pass builds mergeable sketches that give each group its cuts, a second counts the rows of each slice, which tells the
-slices that hold the wanted ranks, and only their rows (about a ``slices``-th of the group for each quantile) are ranked.
-Cuts decide how many rows are ranked, never the result, so there is one way for groups of all sizes and columns of all
-types, and a coarse sketch costs time only.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here every value has an order-keeping 64-bit
+integer. A first round counts the rows of each group by the leading 16 bits, combined before rows move; the counts say
+which bucket holds each wanted rank. A bucket with few rows, or few values between its smallest and largest, is ranked value
+by value; any other is cut again by the next 16 bits that differ inside it. So there are at most four rounds, for groups of
+all sizes and columns of all types, and no task ever orders more than ``FEW`` entries of a group.
+
+All rounds read one narrow table, the keys and the columns asked for, written once.
 """
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodgecast.functions.lookups import join_lookup, sized
+from lodgecast.functions.lookups import join_lookup
+from lodgecast.functions.stored import stored
 
-SKETCH_ACCURACY = 1_000
-SLICES = 64
+#: Bits that a round resolves.
+BITS = 16
+#: Buckets of so many rows, or of so many possible values, are ranked value by value.
+FEW = 1 << 16
 
 Wanted = Mapping[str, tuple[str, float]]
 
@@ -26,6 +31,23 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n_value"))
 
 
+def ordered_bits(value: Column) -> Column:
+    """A 64-bit integer for each double, in the order of the doubles: the exponent's 11 bits, then the fraction's 52.
+
+    The rounded logarithm is off by one next to powers of two at most, which the two comparisons put right; powers of two
+    and divisions by them are exact. Negative numbers are mirrored, not-a-number comes last.
+    """
+    size, infinity = F.abs(value), F.lit(float("inf"))
+    plain = F.when((size > 0) & (size < infinity), size).otherwise(F.lit(1.0))
+    guess = F.floor(F.log2(plain)).cast("int")
+    above, below = F.pow(F.lit(2.0), guess + 1) <= plain, F.pow(F.lit(2.0), guess) > plain
+    exponent = F.greatest(guess + above.cast("int") - below.cast("int"), F.lit(-1022))
+    fraction = (plain / F.pow(F.lit(2.0), exponent) * F.lit(2.0**52)).cast("long")
+    bits = F.shiftleft((exponent + 1022).cast("long"), 52) + fraction
+    bits = F.when(size == 0, F.lit(0)).when(size == infinity, F.lit(2047 << 52)).otherwise(bits)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(F.when(value < 0, F.lit(-1)).otherwise(F.lit(1)) * bits)
+
+
 def quantile_array(df: DataFrame, column: str, probs: Sequence[float], **settings) -> DataFrame:
     """One row with ``q``, the exact quantiles of a column in the order asked for."""
     wanted = {f"q{i}": (column, p) for i, p in enumerate(probs)}
@@ -37,78 +59,125 @@ def grouped_quantiles(
     keys: Sequence[str],
     wanted: Wanted,
     aggregates: Sequence[Column] = (),
-    accuracy: int = SKETCH_ACCURACY,
-    slices: int = SLICES,
+    bits: int = BITS,
+    few: int = FEW,
 ) -> DataFrame:
     """Exact quantiles per group: ``keys`` plus one double column per wanted name.
 
-    ``wanted`` maps an output name to (input column, probability). Further ``aggregates`` ride along in
-    the first pass. Without keys the result is one row. A group without values has null quantiles.
+    ``wanted`` maps an output name to (input column, probability). Further ``aggregates`` of ``df`` ride along. Without
+    keys the result is one row. A group without values has null quantiles.
     """
     keys = list(keys)
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    shares = [k / slices for k in range(1, slices)]
-    cuts = [F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(f"__cuts_{i}") for i, c in enumerate(columns)]
-    names = [f"__cuts_{i}" for i in range(len(columns))]
-    sketch = df.groupBy(*keys).agg(*cuts, *aggregates)
-    extra = [c for c in sketch.columns if c not in keys and c not in names]
-    values = df.select(*keys, *[F.col(c).cast("double").alias(f"__v_{i}") for i, c in enumerate(columns)])
+    # Adding zero makes one value of the two zeros.
+    numbers = [(F.col(c).cast("double") + F.lit(0.0)).alias(f"__v_{i}") for i, c in enumerate(columns)]
+    narrow = stored(df.select(*keys, *numbers), "quantiles")
+    entries = [
+        F.when(F.col(f"__v_{i}").isNotNull(), F.struct(F.lit(i).alias("__i"), F.col(f"__v_{i}").alias("__v")))
+        for i in range(len(columns))
+    ]
+    values = narrow.select(*keys, F.inline(F.array_compact(F.array(*entries))))
+    ranked = _values_at(values, [*keys, "__i"], _asked(columns, wanted), bits, few)
+    found = _interpolated(ranked, keys, columns, wanted)
     if keys:
-        sketch = sized(sketch)
-        values = join_lookup(values, sketch.select(*keys, *names), keys, "inner")
-        found = _ranked(_sliced(values, keys, names), keys, columns, wanted)
-        return join_lookup(sketch.select(*keys, *extra), found, keys).select(*keys, *extra, *wanted)
-    row = sketch.select(F.struct("*").alias("row")).scalar()
-    found = _ranked(_sliced(values.withColumns({n: row[n] for n in names}), keys, names), keys, columns, wanted)
-    return found.select(*[row[n].alias(n) for n in extra], *wanted)
-
-
-def _sliced(values: DataFrame, keys: list[str], cuts: list[str]) -> DataFrame:
-    """``keys, i, slice, v``: a row for each value of each column, with the number of cuts below it."""
-    entries = []
-    for i, cut in enumerate(cuts):
-        v = F.col(f"__v_{i}")
-        below = F.size(F.filter(cut, lambda c, v=v: c < v))
-        entries.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), below.alias("slice"), v.alias("v"))))
-    return values.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("e")).select(*keys, "e.*")
-
-
-def _ranked(sliced: DataFrame, keys: list[str], columns: list[str], wanted: Wanted) -> DataFrame:
-    counts = sliced.groupBy(*keys, "i", "slice").agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*keys, "i")
-    ahead = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.array(*[
-        F.array(*[
-            F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, (c, p) in enumerate(wanted.values()) if c == column
-        ])
-        for column in columns
-    ])
-    position = F.col("asked.p") * (F.col("total") - 1)
-    reach = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
-    picks = (
-        counts.withColumn("total", F.sum("n").over(group))
-        .withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-        .withColumn("asked", F.explode(asked[F.col("i")]))
-        .withColumn("position", position)
-        .filter(reach(F.floor("position")) | reach(F.ceil("position")))
-        .select(*keys, "i", "slice", F.col("asked.j").alias("j"), "before", "position")
-    )
-    # At most two slices for each group and quantile.
-    inside = join_lookup(sliced, sized(picks), [*keys, "i", "slice"], "inner")
-    ties = inside.groupBy(*keys, "j", "slice", "before", "position", "v").agg(F.count(F.lit(1)).alias("ties"))
-    order = Window.partitionBy(*keys, "j", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ties.withColumn("through", F.col("before") + F.sum("ties").over(order))
-
-    def value_at(rank: Column) -> Column:
-        here = (F.col("through") > rank) & (F.col("through") - F.col("ties") <= rank)
-        return F.max(F.when(here, F.col("v")))
-
-    below, above = F.floor("position"), F.ceil("position")
-    found = ranked.groupBy(*keys, "j").agg(
-        value_at(below).alias("low"), value_at(above).alias("high"), F.max(F.col("position") - below).alias("share")
-    )
-    exact = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, exact)).alias(n) for j, n in enumerate(wanted)])
+        groups = df.groupBy(*keys).agg(*aggregates) if aggregates else narrow.select(*keys).distinct()
+        return join_lookup(groups, found, keys).select(*groups.columns, *wanted)
+    if not aggregates:
+        return found
+    groups = df.agg(*aggregates)
+    row = found.select(F.struct("*")).scalar()
+    return groups.withColumn("__q", row).select(*groups.columns, *[F.col("__q")[n].alias(n) for n in wanted])
+
+
+def _asked(columns: list[str], wanted: Wanted) -> Column:
+    """Probabilities asked of the column with number ``__i``."""
+    probs = [sorted({float(p) for c, p in wanted.values() if c == column}) for column in columns]
+    return F.array(*[F.array(*[F.lit(p) for p in own]) for own in probs])[F.col("__i")]
+
+
+def _position(prob: Column, total: Column) -> Column:
+    return prob * (total - 1)
+
+
+def _counted() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")]
+
+
+def _values_at(values: DataFrame, group: list[str], asked: Column, bits: int, few: int) -> DataFrame:
+    """``group, total, rank, v``: the value at every rank that a probability of its column needs."""
+    counted = values.groupBy(*group, F.shiftright(ordered_bits(F.col("__v")), 64 - bits).alias("__bucket")).agg(*_counted())
+    whole = Window.partitionBy(*group)
+    ahead = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(whole)
+    spots = counted.withColumns({"total": total, "before": F.coalesce(F.sum("n").over(ahead), F.lit(0))})
+    position = F.transform(asked, lambda p: _position(p, F.col("total")))
+    ranks = F.array_distinct(F.flatten(F.transform(position, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    here = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    spots = spots.select(*group, "total", "before", "n", "lo", "hi", F.explode(here).alias("rank"))
+    done = []
+    for _ in range(-(-64 // bits)):
+        cut = (F.col("n") > few) & (ordered_bits(F.col("hi")) - ordered_bits(F.col("lo")) >= few)
+        noticed = Observation()
+        counts = [F.count_if(F.col("cut")).alias("cut"), F.count_if(~F.col("cut") & (F.col("lo") < F.col("hi"))).alias("few")]
+        spots = stored(spots.withColumn("cut", cut).observe(noticed, *counts), "ranks")
+        open_ = noticed.get
+        single = spots.filter(~F.col("cut") & (F.col("lo") == F.col("hi")))
+        done.append(single.select(*group, "total", "rank", F.col("lo").alias("v")))
+        if open_["few"]:
+            done.append(_ranked(values, spots.filter(~F.col("cut") & (F.col("lo") < F.col("hi"))), group))
+        if not open_["cut"]:
+            break
+        spots = _cut_again(values, spots.filter("cut").drop("cut"), group, bits)
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _inside(values: DataFrame, spots: DataFrame, group: list[str]) -> DataFrame:
+    """Values of the buckets that hold wanted ranks; a group has one bucket for each rank at most."""
+    buckets = spots.select(*group, "before", "lo", "hi").distinct()
+    return join_lookup(values, buckets, group, "inner").filter("__v >= lo and __v <= hi")
+
+
+def _running(spots: DataFrame, counted: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Entries of ``counted`` (``group, before, n``) that hold the wanted ranks of their bucket, with ``through``."""
+    rows = Window.partitionBy(*group, "before").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counted.withColumn("through", F.col("before") + F.sum("n").over(rows))
+    asked = spots.groupBy(*group, "before").agg(F.collect_set("rank").alias("ranks"), F.first("total").alias("total"))
+    held = join_lookup(run, asked, [*group, "before"], "inner")
+    here = F.filter("ranks", lambda r: (r < F.col("through")) & (r >= F.col("through") - F.col("n")))
+    return held.withColumn("rank", F.explode(here))
+
+
+def _ranked(values: DataFrame, spots: DataFrame, group: list[str]) -> DataFrame:
+    ties = _inside(values, spots, group).groupBy(*group, "before", "__v").agg(F.count(F.lit(1)).alias("n"))
+    return _running(spots, ties, group, "__v").select(*group, "total", "rank", F.col("__v").alias("v"))
+
+
+def _cut_again(values: DataFrame, spots: DataFrame, group: list[str], bits: int) -> DataFrame:
+    """The buckets in which the wanted ranks lie after the next bits below those that a whole bucket shares."""
+    first, last = ordered_bits(F.col("lo")), ordered_bits(F.col("hi"))
+    # The number of bits in which values of the bucket can differ.
+    spread = F.length(F.bin(last - first))
+    shift = F.greatest(spread - bits, F.lit(0)).cast("int")
+    at = F.expr("shiftright(__off, __shift)").alias("__bucket")
+    offset = _inside(values, spots, group).withColumns({"__off": ordered_bits(F.col("__v")) - first, "__shift": shift})
+    counted = offset.groupBy(*group, "before", at).agg(*_counted())
+    found = _running(spots, counted, group, "__bucket")
+    return found.select(*group, "total", (F.col("through") - F.col("n")).alias("before"), "n", "lo", "hi", "rank")
+
+
+def _interpolated(ranked: DataFrame, keys: list[str], columns: list[str], wanted: Wanted) -> DataFrame:
+    exact = []
+    for name, (column, prob) in wanted.items():
+        position = _position(F.lit(float(prob)), F.col("total"))
+        own = F.col("__i") == columns.index(column)
+        low = F.max(F.when(own & (F.col("rank") == F.floor(position)), F.col("v")))
+        high = F.max(F.when(own & (F.col("rank") == F.ceil(position)), F.col("v")))
+        share = F.max(F.when(own, position - F.floor(position)))
+        exact.append(F.when(share == 0, low).otherwise(low + (high - low) * share).alias(name))
+    return ranked.groupBy(*keys).agg(*exact)
 
 
 def quantile_edges(df: DataFrame, column: str, bands: int, drop_equal: bool = True, **settings) -> list[float]:

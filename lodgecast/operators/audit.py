@@ -56,7 +56,8 @@ def cap_scopes(priced: DataFrame) -> DataFrame:
 def excluded_segments(priced: DataFrame) -> DataFrame:
     """Rows above the cap by borough and room type, the largest segment first."""
     keys = ["neighbourhood_group", "room_type"]
-    above = value_counts(priced.filter(F.col("price") > price_cap(priced).scalar()), keys, "price")
+    cap = F.lit(price_cap(priced).first()["cap"]).cast("double")
+    above = value_counts(priced.filter(F.col("price") > cap), keys, "price")
     n, price = F.col("n_value"), F.col("price")
     return (
         above.groupBy(*keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodgecast.functions.lookups import join_lookup, sized
-from lodgecast.functions.quantiles import quantile_array, value_counts
+from lodgecast.functions.quantiles import grouped_quantiles, quantile_array, value_counts
 from lodgecast.functions.scalars import hash_uniform, parse_day
 from lodgecast.operators.features import geo_cell
 from lodgecast.operators.splits import capped_sample
@@ -96,22 +96,20 @@ def density(df: DataFrame, group: str, column: str, points: int = 200, cut: floa
     return grid.groupBy(group, "point").agg(F.first(x).alias("x"), height.alias("density")).orderBy(group, "point")
 
 
-def _quartiles(counts: DataFrame, group: str, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n_value"))
-    return counts.groupBy(group).agg(F.sum("n_value").alias("rows"), q.alias("q")).select(
-        group, "rows", *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
-    )
+def _quartiles(df: DataFrame, group: str, column: str) -> DataFrame:
+    wanted = {"q1": (column, 0.25), "median": (column, 0.5), "q3": (column, 0.75)}
+    return grouped_quantiles(df.filter(F.col(column).isNotNull()), [group], wanted, [F.count(F.lit(1)).alias("rows")])
 
 
 def quartiles_by(df: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles per group, the highest median first."""
-    return _quartiles(value_counts(df, [group], column), group, column).orderBy(F.desc("median"), group)
+    return _quartiles(df, group, column).select(group, "rows", "q1", "median", "q3").orderBy(F.desc("median"), group)
 
 
 def box_stats(df: DataFrame, group: str, column: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last value within reach, and the number of values beyond them."""
     counts = sized(value_counts(df, [group], column))
-    boxes = sized(_quartiles(counts, group, column))
+    boxes = _quartiles(df, group, column)
     v, q1, q3 = F.col(column).cast("double"), F.col("q1"), F.col("q3")
     span = reach * (q3 - q1)
     inside = (v >= q1 - span) & (v <= q3 + span)

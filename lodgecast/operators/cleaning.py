@@ -52,7 +52,8 @@ def capped_listings(raw: DataFrame, cap_from: DataFrame | None = None) -> DataFr
     """
     priced = priced_listings(raw)
     cap = price_cap(priced if cap_from is None else priced_listings(cap_from))
-    return priced.filter(F.col("price") <= cap.scalar())
+    # One number for the plan: whatever passes over the listings again does not look for the cap again.
+    return priced.filter(F.col("price") <= F.lit(cap.first()["cap"]).cast("double"))
 
 
 def numeric_columns(df: DataFrame, keep_out: Sequence[str] = ("id", "price")) -> list[str]:
