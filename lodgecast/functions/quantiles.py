@@ -45,7 +45,20 @@ def ordered_bits(value: Column) -> Column:
     fraction = (plain / F.pow(F.lit(2.0), exponent) * F.lit(2.0**52)).cast("long")
     bits = F.shiftleft((exponent + 1022).cast("long"), 52) + fraction
     bits = F.when(size == 0, F.lit(0)).when(size == infinity, F.lit(2047 << 52)).otherwise(bits)
-    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(F.when(value < 0, F.lit(-1)).otherwise(F.lit(1)) * bits)
+    # Without an otherwise, a null stays null.
+    signed = F.when(value < 0, F.lit(-1)).otherwise(F.lit(1)) * bits
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value.isNotNull(), signed)
+
+
+def from_bits(bits: Column) -> Column:
+    """The double that ``ordered_bits`` maps to these bits."""
+    size = F.abs(bits)
+    exponent, fraction = F.shiftright(size, 52), size.bitwiseAND(F.lit((1 << 52) - 1)) * F.pow(F.lit(2.0), F.lit(-52))
+    value = F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-1022))).otherwise(
+        (fraction + 1) * F.pow(F.lit(2.0), exponent - 1023)
+    )
+    value = F.when(bits == F.lit((1 << 63) - 1), F.lit(float("nan"))).otherwise(value)
+    return F.when(bits < 0, -value).otherwise(value)
 
 
 def quantile_array(df: DataFrame, column: str, probs: Sequence[float], **settings) -> DataFrame:
@@ -69,11 +82,10 @@ def grouped_quantiles(
     """
     keys = list(keys)
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    # Adding zero makes one value of the two zeros.
-    numbers = [(F.col(c).cast("double") + F.lit(0.0)).alias(f"__v_{i}") for i, c in enumerate(columns)]
+    numbers = [ordered_bits(F.col(c).cast("double")).alias(f"__b_{i}") for i, c in enumerate(columns)]
     narrow = stored(df.select(*keys, *numbers), "quantiles")
     entries = [
-        F.when(F.col(f"__v_{i}").isNotNull(), F.struct(F.lit(i).alias("__i"), F.col(f"__v_{i}").alias("__v")))
+        F.when(F.col(f"__b_{i}").isNotNull(), F.struct(F.lit(i).alias("__i"), F.col(f"__b_{i}").alias("__b")))
         for i in range(len(columns))
     ]
     values = narrow.select(*keys, F.inline(F.array_compact(F.array(*entries))))
@@ -100,12 +112,12 @@ def _position(prob: Column, total: Column) -> Column:
 
 
 def _counted() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")]
+    return [F.count(F.lit(1)).alias("n"), F.min("__b").alias("lo"), F.max("__b").alias("hi")]
 
 
 def _values_at(values: DataFrame, group: list[str], asked: Column, bits: int, few: int) -> DataFrame:
-    """``group, total, rank, v``: the value at every rank that a probability of its column needs."""
-    counted = values.groupBy(*group, F.shiftright(ordered_bits(F.col("__v")), 64 - bits).alias("__bucket")).agg(*_counted())
+    """``group, total, rank, bits``: the value at every rank that a probability of its column needs."""
+    counted = values.groupBy(*group, F.shiftright("__b", 64 - bits).alias("__bucket")).agg(*_counted())
     whole = Window.partitionBy(*group)
     ahead = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("n").over(whole)
@@ -114,30 +126,26 @@ def _values_at(values: DataFrame, group: list[str], asked: Column, bits: int, fe
     ranks = F.array_distinct(F.flatten(F.transform(position, lambda x: F.array(F.floor(x), F.ceil(x)))))
     here = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
     spots = spots.select(*group, "total", "before", "n", "lo", "hi", F.explode(here).alias("rank"))
-    done = []
-    for _ in range(-(-64 // bits)):
-        cut = (F.col("n") > few) & (ordered_bits(F.col("hi")) - ordered_bits(F.col("lo")) >= few)
+    narrow_enough = []
+    while True:
+        cut = (F.col("n") > few) & (F.col("hi") - F.col("lo") >= few)
         noticed = Observation()
-        counts = [F.count_if(F.col("cut")).alias("cut"), F.count_if(~F.col("cut") & (F.col("lo") < F.col("hi"))).alias("few")]
-        spots = stored(spots.withColumn("cut", cut).observe(noticed, *counts), "ranks")
-        open_ = noticed.get
-        single = spots.filter(~F.col("cut") & (F.col("lo") == F.col("hi")))
-        done.append(single.select(*group, "total", "rank", F.col("lo").alias("v")))
-        if open_["few"]:
-            done.append(_ranked(values, spots.filter(~F.col("cut") & (F.col("lo") < F.col("hi"))), group))
-        if not open_["cut"]:
+        spots = stored(spots.withColumn("cut", cut).observe(noticed, F.count_if("cut").alias("cut")), "ranks")
+        narrow_enough.append(spots.filter("not cut").drop("cut"))
+        if not noticed.get["cut"]:
             break
         spots = _cut_again(values, spots.filter("cut").drop("cut"), group, bits)
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
-    return found
+    last = narrow_enough[0]
+    for part in narrow_enough[1:]:
+        last = last.unionByName(part)
+    ties = _inside(values, last, group).groupBy(*group, "before", "__b").agg(F.count(F.lit(1)).alias("n"))
+    return _running(last, ties, group, "__b").select(*group, "total", "rank", F.col("__b").alias("bits"))
 
 
 def _inside(values: DataFrame, spots: DataFrame, group: list[str]) -> DataFrame:
     """Values of the buckets that hold wanted ranks; a group has one bucket for each rank at most."""
     buckets = spots.select(*group, "before", "lo", "hi").distinct()
-    return join_lookup(values, buckets, group, "inner").filter("__v >= lo and __v <= hi")
+    return join_lookup(values, buckets, group, "inner").filter("__b between lo and hi")
 
 
 def _running(spots: DataFrame, counted: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -150,20 +158,12 @@ def _running(spots: DataFrame, counted: DataFrame, group: list[str], order: str)
     return held.withColumn("rank", F.explode(here))
 
 
-def _ranked(values: DataFrame, spots: DataFrame, group: list[str]) -> DataFrame:
-    ties = _inside(values, spots, group).groupBy(*group, "before", "__v").agg(F.count(F.lit(1)).alias("n"))
-    return _running(spots, ties, group, "__v").select(*group, "total", "rank", F.col("__v").alias("v"))
-
-
 def _cut_again(values: DataFrame, spots: DataFrame, group: list[str], bits: int) -> DataFrame:
     """The buckets in which the wanted ranks lie after the next bits below those that a whole bucket shares."""
-    first, last = ordered_bits(F.col("lo")), ordered_bits(F.col("hi"))
-    # The number of bits in which values of the bucket can differ.
-    spread = F.length(F.bin(last - first))
-    shift = F.greatest(spread - bits, F.lit(0)).cast("int")
-    at = F.expr("shiftright(__off, __shift)").alias("__bucket")
-    offset = _inside(values, spots, group).withColumns({"__off": ordered_bits(F.col("__v")) - first, "__shift": shift})
-    counted = offset.groupBy(*group, "before", at).agg(*_counted())
+    spread = F.length(F.bin(F.col("hi") - F.col("lo")))
+    shifted = _inside(values, spots, group).withColumn("__shift", F.greatest(spread - bits, F.lit(0)).cast("int"))
+    bucket = F.expr("shiftright(__b - lo, __shift)").alias("__bucket")
+    counted = shifted.groupBy(*group, "before", bucket).agg(*_counted())
     found = _running(spots, counted, group, "__bucket")
     return found.select(*group, "total", (F.col("through") - F.col("n")).alias("before"), "n", "lo", "hi", "rank")
 
@@ -177,7 +177,7 @@ def _interpolated(ranked: DataFrame, keys: list[str], columns: list[str], wanted
         high = F.max(F.when(own & (F.col("rank") == F.ceil(position)), F.col("v")))
         share = F.max(F.when(own, position - F.floor(position)))
         exact.append(F.when(share == 0, low).otherwise(low + (high - low) * share).alias(name))
-    return ranked.groupBy(*keys).agg(*exact)
+    return ranked.withColumn("v", from_bits(F.col("bits"))).groupBy(*keys).agg(*exact)
 
 
 def quantile_edges(df: DataFrame, column: str, bands: int, drop_equal: bool = True, **settings) -> list[float]:

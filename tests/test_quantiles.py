@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodgecast.functions.quantiles import grouped_quantiles, ordered_bits, quantile_array, quantile_edges, with_bands
+from lodgecast.functions.quantiles import from_bits, grouped_quantiles, ordered_bits, quantile_array, quantile_edges, with_bands
 
 
 def skewed(spark, n=30_000, partitions=5):
@@ -51,7 +51,8 @@ def test_bits_keep_the_order_of_doubles(spark):
     values = [*ODD_DOUBLES, *some]
     values += [-v for v in values]
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("bits"))
-    for r in df.collect():
+    for r in df.withColumn("back", from_bits(F.col("bits"))).collect():
+        assert r["back"] == r["v"]
         raw = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
         assert r["bits"] == (-raw if r["v"] < 0 else raw), r
 
