@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from lodgecast import schema as S
 from lodgecast.functions.scalars import sorted_params_json
 from lodgecast.learning.features import PopulationScaler, feature_pipeline
-from lodgecast.learning.regressors import build, converged, draw_params
+from lodgecast.learning.parzen import propose
+from lodgecast.learning.regressors import SPACES, build, converged
 from lodgecast.learning.neighbour_model import vectors
 from lodgecast.operators.metrics import dollar_metrics
 from lodgecast.operators.neighbours import nearest_neighbours, neighbour_regression
@@ -129,12 +130,11 @@ def cross_validate(encoded: Encoded, make: Callable[[DataFrame], Estimator], par
     return value, scored
 
 
-def neighbour_search(encoded: Encoded, trials: list[dict], parallelism: int = S.FOLDS) -> Callable[[dict], tuple[float, DataFrame]]:
+def neighbour_search(encoded: Encoded, furthest: int, parallelism: int = S.FOLDS) -> Callable[[dict], tuple[float, DataFrame]]:
     """Cross-validation of nearest-neighbour trials that share one neighbour list per fold.
 
-    The lists reach as far as the largest trial; a trial only averages over a prefix of them.
+    The lists reach as far as any trial may; a trial only averages over a prefix of them.
     """
-    furthest = max(int(p["n_neighbors"]) for p in trials)
 
     def lists(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
         inside, outside = pair
@@ -170,12 +170,22 @@ def test_metrics(scored: DataFrame) -> dict[str, float]:
 
 
 def tune(model: str, encoded: Encoded, trials: int, seed: int = S.SEED, parallelism: int = S.FOLDS,
-         overrides: dict | None = None, log: Callable[[str], None] = print) -> Tuned:
-    """Draw ``trials`` parameter sets, keep the best by cross-validation, refit, score the test rows."""
-    best, kept = None, []
-    drawn = [{**draw_params(model, trial, seed), **(overrides or {})} for trial in range(trials)]
-    shared = neighbour_search(encoded, drawn, parallelism) if model == "KNN" else None
-    for trial, params in enumerate(drawn):
+         overrides: dict | None = None, log: Callable[[str], None] = print, batch: int = 1) -> Tuned:
+    """Try ``trials`` parameter sets, keep the best by cross-validation, refit, score the test rows.
+
+    Each batch of trials is proposed from all trials finished before it.
+    """
+    best, kept, finished = None, [], []
+    fixed = overrides or {}
+    shared = None
+    if model == "KNN":
+        furthest = int(fixed.get("n_neighbors", SPACES["KNN"]["n_neighbors"][2]))
+        shared = neighbour_search(encoded, furthest, parallelism)
+    for trial in range(trials):
+        if trial % batch == 0:
+            asked = [propose(model, finished, t, seed) for t in range(trial, min(trial + batch, trials))]
+        proposed = asked[trial % batch]
+        params = {**proposed, **fixed}
         log(f"[{model}] trial {trial + 1}/{trials} started")
         started = time.perf_counter()
         if shared is not None:
@@ -183,6 +193,7 @@ def tune(model: str, encoded: Encoded, trials: int, seed: int = S.SEED, parallel
         else:
             value, scored = cross_validate(encoded, lambda rows: build(model, params, rows), params, parallelism)
         elapsed = time.perf_counter() - started
+        finished.append((proposed, value))
         if best is None or value < best[0]:
             best = (value, params, scored)
         kept.append((model, trial, value if math.isfinite(value) else None, elapsed, {k: str(v) for k, v in params.items()}))
