@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodgecast.functions.lookups import join_lookup, sized
 from lodgecast.functions.quantiles import grouped_quantiles, quantile_array, value_counts
+from lodgecast.functions.running import running_total
 from lodgecast.functions.scalars import hash_uniform, parse_day
 from lodgecast.operators.features import geo_cell
 from lodgecast.operators.splits import capped_sample
@@ -127,15 +128,8 @@ def box_stats(df: DataFrame, group: str, column: str, reach: float = 1.5) -> Dat
 
 def cumulative_steps(df: DataFrame, group: str, column: str) -> DataFrame:
     """Per group and value: listings with the value, listings below it, listings in the group."""
-    counts = value_counts(df, [group], column)
-    upto = Window.partitionBy(group).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(
-        group,
-        column,
-        F.col("n_value").alias("rows"),
-        (F.sum("n_value").over(upto) - F.col("n_value")).alias("below"),
-        F.sum("n_value").over(Window.partitionBy(group)).alias("total"),
-    )
+    counts = value_counts(df, [group], column).withColumnRenamed("n_value", "rows")
+    return running_total(counts, group, column, "rows").select(group, column, "rows", "below", "total")
 
 
 def cumulative_points(df: DataFrame, group: str, column: str, chunk: int = POINTS_PER_CHUNK) -> DataFrame:
