@@ -1,6 +1,7 @@
 """Masked pseudo-likelihood: a window network predicts every word from the two words on either side.
 
-Every distinct word of the corpus has its own count, in a table that is joined to the words of each block of texts. Words
+Every distinct word of the corpus has its own count. A block of texts sends its distinct words once, the task that gets a
+word from all blocks adds up its count, and the count goes back to the word's place in each block. Words
 fall into ``CLASSES * MEMBERS`` groups by their counts: a frequent word is a group of its own, rarer ones share a group of
 about the same mass. A document's score is the sum over its words of log P(group | words on both sides) + log P(word |
 group): the network gives the first, the counts the second, so every word has a probability. The group's probability is
@@ -21,15 +22,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgecast.llm.scratch import written
-from lodgecast.llm.words import mixed, rows, split_words, word_hashes
+from lodgecast.llm.words import rows, split_words, word_hashes
 
-CELLS = 1 << 18
 CLASSES, MEMBERS = 32, 32
 GROUPS = CLASSES * MEMBERS
 EDGE = GROUPS  # stands for what lies outside the text
@@ -37,7 +38,7 @@ SIDE = 2
 EMBEDDING, HIDDEN = 12, 24
 ROUNDS = 24
 PART_WORDS = 1 << 21
-VOCABULARY_WORDS = 1 << 18  # words of a block of texts whose distinct words are looked up together
+VOCABULARY_WORDS = 1 << 21  # words of a block of texts whose distinct words are looked up together
 PIECES = 8  # files of a part
 RATE = 0.1
 SLICES = 64
@@ -52,10 +53,6 @@ _SHAPES = {
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
-def cells(text: str | None) -> np.ndarray:
-    return (mixed(word_hashes(split_words(text))) % np.uint64(CELLS)).astype(np.int32)
-
-
 def unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
     found, at = {}, 0
     for name, shape in _SHAPES.items():
@@ -81,7 +78,7 @@ def first_model(group_counts: np.ndarray) -> np.ndarray:
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Groups of all words, and those of the words around each."""
     gap = np.full(SIDE, EDGE, np.int32)
-    line = np.concatenate([part for text in texts for part in (text % GROUPS, gap)])
+    line = np.concatenate([part for text in texts for part in (text, gap)])
     line = np.concatenate([gap, line])
     at = np.flatnonzero(line != EDGE)
     around = np.stack([line[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
@@ -156,28 +153,23 @@ def _by_blocks(model: dict, texts: list[np.ndarray], gradient: dict | None) -> n
     return np.concatenate(found) if found else np.zeros(0, np.float32)
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, part and cells of every row."""
+_BLOCK_ROWS = (
+    "block long, ids array<long>, digests array<long>, sizes array<long>, vocabulary binary, tallies binary, codes binary"
+)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [cells(text).tobytes() for _, _, text in rows(iter([batch]))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "part", "cells"]
-            )
 
-    return docs.mapInArrow(run, "doc_id long, part int, cells binary")
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
 
 
-_BLOCK_ROWS = (
-    "block long, ids array<long>, digests array<long>, sizes array<long>, vocabulary binary, tallies binary, codes binary"
-)
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint32)
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of texts: the hashes and tallies of their distinct words, and all words as places among these.
 
-    docs: doc_id, digest, text.
+    Frequent words have low places, so that the places pack well. docs: doc_id, digest, text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +180,14 @@ def word_blocks(docs: DataFrame) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for held in _blocks(texts, VOCABULARY_WORDS):
             ids, digests, words = zip(*held, strict=True)
-            own, codes, tallies = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            codes, own = pd.factorize(np.concatenate(words).view(np.int64))
+            tallies = np.bincount(codes, minlength=len(own))
+            order = np.argsort(-tallies, kind="stable")
+            place = np.empty(len(own), np.int64)
+            place[order] = np.arange(len(own))
             row = (
-                block, ids, digests, [len(w) for w in words], own.tobytes(), tallies.astype(np.int64).tobytes(),
-                codes.astype(np.int32).tobytes(),
+                block, ids, digests, [len(w) for w in words], own[order].tobytes(), _packed(tallies[order]),
+                _packed(place[codes]),
             )
             block += 1
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
@@ -205,12 +201,13 @@ def block_words(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, vocabulary, tallies in rows(batches):
             word = np.frombuffer(vocabulary, np.int64)
+            tallies = _unpacked(tallies, len(word)).astype(np.int64)
             for a in range(0, len(word), BLOCK):
                 own = word[a : a + BLOCK]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(own), block)), pa.array(np.arange(a, a + len(own), dtype=np.int32)),
-                        pa.array(own), pa.array(np.frombuffer(tallies, np.int64)[a : a + BLOCK]),
+                        pa.array(own), pa.array(tallies[a : a + BLOCK]),
                     ],
                     ["block", "place", "word", "n"],
                 )
@@ -219,6 +216,16 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "block long, place int, word long, n long")
 
 
+def counted_words(blocks: DataFrame) -> DataFrame:
+    """block, place, total (the word's count in the corpus), and first, true in one block of each word.
+
+    A word comes once from each block, so even the most frequent one is a row for a block.
+    """
+    own = Window.partitionBy("word")
+    first = F.min("block").over(own) == F.col("block")
+    return block_words(blocks).select("block", "place", F.sum("n").over(own).alias("total"), first.alias("first"))
+
+
 def groups_by_count(totals: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group of each distinct count and words of the corpus in each group.
 
@@ -236,39 +243,31 @@ def groups_by_count(totals: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray
     return group, mass
 
 
-def grouped(blocks: DataFrame, pairs: DataFrame, words: DataFrame, totals, group, mass, rounds: int) -> DataFrame:
-    """doc_id, part, cells (groups of the words) and inside (sum of log P(word | group)) of every row.
-
-    words: word, total.
-    """
-    found = pairs.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "total")).alias("found"))
+def grouped(blocks: DataFrame, counted: DataFrame, totals, group, mass, rounds: int) -> DataFrame:
+    """doc_id, part, cells (groups of the words, two bytes each) and inside (sum of log P(word | group)) of every row."""
     inside = np.log(np.maximum(totals, 1) / mass[group])
-    shared = blocks.sparkSession.sparkContext.broadcast((totals, group, inside))
+    shared = blocks.sparkSession.sparkContext.broadcast((totals, group.astype(np.uint16), inside))
+    longs = {"doc_id": pa.int64(), "part": pa.int32(), "piece": pa.int32(), "cells": pa.binary(), "inside": pa.float64()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place_counts(own, found):
+        """The block's row meets the counts of its words."""
         values, groups, logs = shared.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, digests, sizes, codes, own = (column[k] for column in batch.columns)
-                sizes, codes = sizes.values.to_numpy(), np.frombuffer(codes.as_py(), np.int32)
-                at = np.zeros(0, np.int64)
-                if own.is_valid:
-                    at = np.zeros(len(own.values), np.int64)
-                    place, total = own.values.flatten()
-                    at[place.to_numpy()] = np.searchsorted(values, total.to_numpy())
-                at = at[codes]
-                edges = np.r_[0, np.cumsum(sizes)]
-                sums = np.diff(np.r_[0, np.cumsum(logs[at])][edges])
-                cells_ = [groups[at[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                part = pa.array(digests.values.to_numpy() % rounds, pa.int32())
-                piece = pa.array((digests.values.to_numpy() >> 32) % PIECES, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.values, part, piece, pa.array(cells_, pa.binary()), pa.array(sums)],
-                    ["doc_id", "part", "piece", "cells", "inside"],
-                )
-
-    joined = blocks.join(found, "block", "left").select("ids", "digests", "sizes", "codes", "found")
-    placed = joined.mapInArrow(run, "doc_id long, part int, piece int, cells binary, inside double")
+        block = own.to_pylist()[0]
+        at = np.zeros(found.num_rows, np.int64)
+        at[np.asarray(found.column("place"))] = np.searchsorted(values, np.asarray(found.column("total")))
+        sizes, digests = np.array(block["sizes"], np.int64), np.array(block["digests"], np.int64)
+        edges = np.r_[0, np.cumsum(sizes)]
+        at = at[_unpacked(block["codes"], int(edges[-1]))]
+        sums = np.diff(np.r_[0, np.cumsum(logs[at])][edges])
+        line = groups[at]
+        cells = [line[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        columns = [block["ids"], digests % rounds, (digests >> 32) % PIECES, cells, sums]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, longs.values(), strict=True)], list(longs))
+
+    carried = blocks.select("block", "ids", "digests", "sizes", "codes")
+    answers = counted.select(F.col("block").alias("of"), "place", "total")
+    met = carried.groupBy("block").cogroup(answers.groupBy("of"))
+    placed = met.applyInArrow(place_counts, "doc_id long, part int, piece int, cells binary, inside double")
     return placed.repartition("part", "piece").drop("piece")
 
 
@@ -298,27 +297,6 @@ def _summed(frame: DataFrame, kind: str) -> DataFrame:
     return ordered.mapInArrow(run, "slot int, values binary")
 
 
-def cell_counts(corpus: DataFrame) -> np.ndarray:
-    """Words of the corpus in each cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for words in batch.column(0).to_pylist():
-                np.add.at(total, np.frombuffer(words, np.int32), 1)
-        cut = total.reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())],
-            ["slot", "values"],
-        )
-
-    found = _summed(corpus.select("cells").mapInArrow(run, "slot int, values binary"), "int64").collect()
-    counts = np.zeros((SLICES, CELLS // SLICES), np.int64)
-    for row in found:
-        counts[row["slot"]] = np.frombuffer(row["values"], np.int64)
-    return counts.reshape(-1)
-
-
 def _gradient(corpus: DataFrame, flat: np.ndarray) -> tuple[float, np.ndarray]:
     """Words of the corpus and the summed gradient of their log-probabilities."""
 
@@ -326,7 +304,7 @@ def _gradient(corpus: DataFrame, flat: np.ndarray) -> tuple[float, np.ndarray]:
         model = unflat(flat)
         total = np.zeros(_SIZE + 1)
         gradient = unflat(total[:-1])
-        texts = ((np.frombuffer(x, np.int32),) for (x,) in rows(batches))
+        texts = ((np.frombuffer(x, np.uint16).astype(np.int32),) for (x,) in rows(batches))
         for block in _blocks(texts):
             total[-1] += len(_by_blocks(model, [x for (x,) in block], gradient))
         slot = TaskContext.get().partitionId() % SLICES
@@ -364,7 +342,7 @@ def score_grouped(corpus: DataFrame, flat: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unflat(shared.value)
-        for block in _blocks((id_, inside, np.frombuffer(x, np.int32)) for id_, inside, x in rows(batches)):
+        for block in _blocks((i, inside, np.frombuffer(x, np.uint16).astype(np.int32)) for i, inside, x in rows(batches)):
             ids, inside, texts = zip(*block, strict=True)
             sizes = np.array([len(t) for t in texts])
             found = _by_blocks(model, list(texts), None)
@@ -376,46 +354,28 @@ def score_grouped(corpus: DataFrame, flat: np.ndarray) -> DataFrame:
     return corpus.select("doc_id", "inside", "cells").mapInArrow(run, schema)
 
 
-def score(corpus: DataFrame, flat: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """As ``score_grouped``, for words hashed into cells: a form of fixed size, for samples."""
-    spread = counts + 0.5
-    groups = np.bincount(np.arange(CELLS) % GROUPS, spread, GROUPS)
-    inside = np.log(spread / groups[np.arange(CELLS) % GROUPS]).astype(np.float32)
-    shared = corpus.sparkSession.sparkContext.broadcast((flat, inside))  # of fixed size, about a megabyte
-    schema = "doc_id long, n_words long, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, within = shared.value
-        model = unflat(weights)
-        for block in _blocks((id_, np.frombuffer(x, np.int32)) for id_, x in rows(batches)):
-            ids, texts = zip(*block, strict=True)
-            sizes = np.array([len(t) for t in texts])
-            found = _by_blocks(model, list(texts), None) + within[np.concatenate(texts)]
-            sums = np.diff(np.r_[0, np.cumsum(found, dtype=np.float64)][np.r_[0, np.cumsum(sizes)]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums)], ["doc_id", "n_words", "score"]
-            )
-
-    return corpus.select("doc_id", "cells").mapInArrow(run, schema)
-
-
-def lm_score(
-    docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """doc_id, n_words, score and mean_score (null without words) of every row of ``docs``."""
+def grouped_corpus(
+    docs: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, np.ndarray, int]:
+    """Every row with the groups of its words, written by parts; the words in each group; the number of parts."""
     chosen = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(F.col(doc_id), F.col(text)).alias("digest"),
         F.col(text).alias("text"),
     )
     blocks = written(word_blocks(chosen), "blocks")
-    pairs = block_words(blocks)
-    words = written(pairs.groupBy("word").agg(F.sum("n").alias("total")), "words")
-    found = sorted(tuple(r) for r in words.groupBy("total").count().collect())
+    counted = written(counted_words(blocks), "words")
+    found = sorted(tuple(r) for r in counted.filter("first").groupBy("total").count().collect())
     totals, holders = np.array(found, np.int64).reshape(-1, 2).T
     group, mass = groups_by_count(totals, holders)
     rounds = max(rounds, -(-int(mass.sum()) // PART_WORDS))
-    corpus = written(grouped(blocks, pairs, words, totals, group, mass, rounds), "grouped", "part")
-    flat = train(corpus, mass, rounds, rate)
-    found = score_grouped(corpus, flat)
+    return written(grouped(blocks, counted, totals, group, mass, rounds), "grouped", "part"), mass, rounds
+
+
+def lm_score(
+    docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """doc_id, n_words, score and mean_score (null without words) of every row of ``docs``."""
+    corpus, mass, rounds = grouped_corpus(docs, rounds, doc_id, text)
+    found = score_grouped(corpus, train(corpus, mass, rounds, rate))
     return found.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

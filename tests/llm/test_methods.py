@@ -283,7 +283,7 @@ def test_components(spark):
 def test_masked_model(spark):
     draw = np.random.default_rng(0)
     flat = lm.first_model(draw.integers(1, 50, lm.GROUPS)).astype(np.float64)
-    target, around = lm.windows([draw.integers(0, lm.CELLS, 50).astype(np.int32) for _ in range(3)])
+    target, around = lm.windows([draw.integers(0, lm.GROUPS, 50).astype(np.int32) for _ in range(3)])
     gradient = np.zeros(lm._SIZE)
     lm.forward(lm.unflat(flat), target, around, lm.unflat(gradient))
     for i in draw.integers(0, lm._SIZE, 20):
@@ -295,26 +295,65 @@ def test_masked_model(spark):
 
 def test_masked_model_learns_and_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    part = "cast(pmod(doc_id, 12) as int) as part"
-    seen = docs.filter("doc_id % 10 <> 3").selectExpr("doc_id", part, "text")
-    corpus = written(lm.encoded(seen), "encoded", "part")
-    held = written(lm.encoded(docs.filter("doc_id % 10 = 3").selectExpr("doc_id", part, "text")), "held", "part")
-    counts = lm.cell_counts(corpus)
-    groups = np.bincount(np.arange(lm.CELLS) % lm.GROUPS, counts, lm.GROUPS)
-    trained = lm.train(corpus, groups, rounds=12)
-    again = lm.train(corpus.repartition(7), groups, rounds=12)
+    corpus, mass, rounds = lm.grouped_corpus(docs, 12)
+    seen, held = (written(corpus.filter(f"doc_id % 10 {sign} 3"), "half") for sign in ("<>", "="))
+    trained = lm.train(seen, mass, rounds)
+    again = lm.train(seen.repartition(7), mass, rounds)
     assert np.abs(trained - again).max() < 1e-2
-    plain = lm.first_model(groups)
+    plain = lm.first_model(mass)
     for name in ("class", "member"):
         lm.unflat(plain)[name][...] = 0  # the word shares alone
 
     def mean(flat):
-        found = lm.score(held, flat, counts).collect()
+        found = lm.score_grouped(held, flat).collect()
         return sum(r["score"] for r in found) / sum(r["n_words"] for r in found)
 
     assert mean(trained) > mean(plain) + 0.05
 
 
+def _plain_log_probability(model, line, at):
+    """One word's group from the two groups on either side, layer by layer."""
+
+    def log_softmax(x):
+        return x - x.max() - math.log(np.exp(x - x.max()).sum())
+
+    around = [line[at + k] if 0 <= at + k < len(line) else lm.EDGE for k in (-2, -1, 1, 2)]
+    hidden = np.tanh(np.concatenate([model["embedding"][g] for g in around]) @ model["mix"] + model["mix_bias"])
+    kind, member = divmod(line[at], lm.MEMBERS)
+    return (
+        log_softmax(hidden @ model["class"] + model["class_bias"])[kind]
+        + log_softmax(hidden @ model["member"][kind] + model["member_bias"][kind])[member]
+    )
+
+
+@pytest.mark.parametrize("block_words", [300, 1 << 21])
+def test_masked_model_scores_equal_a_plain_forward_pass(spark, small, texts, monkeypatch, block_words):
+    """Every document's score, word by word, from counts of the corpus and a model that is not trained."""
+    monkeypatch.setattr(lm, "VOCABULARY_WORDS", block_words)
+    flat = lm.first_model(np.arange(1, lm.GROUPS + 1)).astype(np.float32)
+    monkeypatch.setattr(lm, "train", lambda *_: flat)
+    found = {r["doc_id"]: r for r in lm.lm_score(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    split = {i: brute.words(t) for i, t in texts.items()}
+    n = defaultdict(int)
+    for own in split.values():
+        for w in own:
+            n[w] += 1
+    sizes = defaultdict(int)
+    for count in n.values():
+        sizes[count] += 1
+    totals = sorted(sizes)
+    group, mass = lm.groups_by_count(np.array(totals), np.array([sizes[t] for t in totals]))
+    group_of = dict(zip(totals, group.tolist(), strict=True))
+    model = lm.unflat(flat.astype(np.float64))
+    for i in sorted(split)[:60]:
+        line = [group_of[n[w]] for w in split[i]][:3_000]
+        want = sum(_plain_log_probability(model, line, at) for at in range(len(line)))
+        want += sum(math.log(n[w] / mass[group_of[n[w]]]) for w in split[i][:3_000])
+        assert found[i]["n_words"] == len(split[i])
+        if len(split[i]) <= 3_000:
+            assert abs(found[i]["score"] - want) < 1e-3 * (1 + abs(want)), i
+
+
 def test_masked_model_counts_every_word(spark, small, texts, monkeypatch):
     """Probabilities inside groups come from exact counts of distinct words, and steps grow with the corpus."""
     steps = []
@@ -322,7 +361,7 @@ def test_masked_model_counts_every_word(spark, small, texts, monkeypatch):
 
     def train(corpus, mass, rounds, rate):
         rows = corpus.collect()
-        steps.append((rounds, mass, {r["doc_id"]: (np.frombuffer(r["cells"], np.int32), r["inside"]) for r in rows}))
+        steps.append((rounds, mass, {r["doc_id"]: (np.frombuffer(r["cells"], np.uint16), r["inside"]) for r in rows}))
         return real(corpus, mass, 1, rate)
 
     monkeypatch.setattr(lm, "train", train)
