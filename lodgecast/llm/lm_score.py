@@ -85,51 +85,62 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[at], around
 
 
-def _log_softmax(values: np.ndarray) -> np.ndarray:
-    values -= values.max(1, keepdims=True)
-    return values - np.log(np.exp(values).sum(1, keepdims=True))
+def _chosen(values: np.ndarray, choice: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of the chosen row of each column of ``values``, and its gradient where it is asked for."""
+    every = np.arange(len(choice))
+    values -= values.max(0)
+    picked = values[choice, every]
+    np.exp(values, out=values)
+    total = values.sum(0)
+    result = picked - np.log(total)
+    if not learn:
+        return result, None
+    values /= -total
+    values[choice, every] += 1
+    return result, values
 
 
 def forward(model: dict, target: np.ndarray, around: np.ndarray, gradient: dict | None = None) -> np.ndarray:
-    """Log-probability of each word's group; adds the gradient of their sum to ``gradient``."""
-    n = len(target)
-    inputs = model["embedding"][around].reshape(n, -1)
-    hidden = np.tanh(inputs @ model["mix"] + model["mix_bias"])
-    kind, member = target // MEMBERS, target % MEMBERS
-    log_class = _log_softmax(hidden @ model["class"] + model["class_bias"])
-    every = np.arange(n)
-    result = log_class[every, kind]
-    back = None
-    if gradient is not None:
-        error = -np.exp(log_class)
-        error[every, kind] += 1
-        gradient["class"] += hidden.T @ error
-        gradient["class_bias"] += error.sum(0)
-        back = error @ model["class"].T
+    """Log-probability of each word's group; adds the gradient of their sum to ``gradient``.
+
+    Words are taken in order of their class, and layers are laid out with a column for each word, so that the words of a
+    class are a slice and every sum over classes or members runs along whole rows.
+    """
+    learn = gradient is not None
+    kind = (target // MEMBERS).astype(np.uint16)
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    target, around = target[order], around[order]
+    kind, member = target // MEMBERS, target % MEMBERS
+    inputs = model["embedding"][around].reshape(len(target), -1).T
+    hidden = np.tanh(model["mix"].T @ inputs + model["mix_bias"][:, None])
+    result, error = _chosen(model["class"].T @ hidden + model["class_bias"][:, None], kind, learn)
+    if learn:
+        gradient["class"] += hidden @ error.T
+        gradient["class_bias"] += error.sum(1)
+        back = model["class"] @ error
     for c in range(CLASSES):
-        mine = order[edges[c] : edges[c + 1]]
-        if not len(mine):
+        mine = slice(edges[c], edges[c + 1])
+        if edges[c] == edges[c + 1]:
             continue
-        own = hidden[mine]
-        log_member = _log_softmax(own @ model["member"][c] + model["member_bias"][c])
-        result[mine] += log_member[np.arange(len(mine)), member[mine]]
-        if gradient is not None:
-            error = -np.exp(log_member)
-            error[np.arange(len(mine)), member[mine]] += 1
-            gradient["member"][c] += own.T @ error
-            gradient["member_bias"][c] += error.sum(0)
-            back[mine] += error @ model["member"][c].T
-    if gradient is not None:
+        own = hidden[:, mine]
+        found, error = _chosen(model["member"][c].T @ own + model["member_bias"][c][:, None], member[mine], learn)
+        result[mine] += found
+        if learn:
+            gradient["member"][c] += own @ error.T
+            gradient["member_bias"][c] += error.sum(1)
+            back[:, mine] += model["member"][c] @ error
+    if learn:
         back *= 1 - hidden * hidden
-        gradient["mix"] += inputs.T @ back
-        gradient["mix_bias"] += back.sum(0)
-        inner = (back @ model["mix"].T).reshape(-1, EMBEDDING)
-        flat = around.reshape(-1)
-        for k in range(EMBEDDING):
-            gradient["embedding"][:, k] += np.bincount(flat, inner[:, k], GROUPS + 1)
-    return result
+        gradient["mix"] += inputs @ back.T
+        gradient["mix_bias"] += back.sum(1)
+        inner = (model["mix"] @ back).reshape(2 * SIDE, EMBEDDING, -1)
+        for places, own in zip(np.ascontiguousarray(around.T, dtype=np.int64), inner, strict=True):
+            for k in range(EMBEDDING):
+                gradient["embedding"][:, k] += np.bincount(places, own[k], GROUPS + 1)
+    unordered = np.empty_like(result)
+    unordered[order] = result
+    return unordered
 
 
 def _blocks(texts: Iterator[tuple], size: int = BLOCK) -> Iterator[list[tuple]]:
