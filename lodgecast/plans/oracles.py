@@ -528,6 +528,8 @@ def _oracles() -> dict[str, str]:
         greatest(c_acctbal, 1.0) as at_least_one, least(greatest(c_acctbal, 100.0), 5000.0) as both_sides from customer"""
     oracles["params_json"] = """select event_id, '{"event_type":"' || event_type || '","k":"'
         || json_extract_string(props, '$.k') || '"}' as params_json from events"""
+    # The report read back is the table that was written.
+    oracles["mispriced_report"] = oracles["mispriced_topk"]
     oracles["event_value_quantiles"] = "select event_type, " + ", ".join(
         f"round(quantile_cont(value, {p}), 6) as {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p90", 0.9))
     ) + " from events group by 1"

@@ -54,13 +54,13 @@ def test_settings_are_checked(spark, small):
 
 
 class Result:
-    name, cv_rmse_log, params, metrics = "ElasticNet", 0.1234567, {"alpha": 0.5}, {"mae": 1.0, "rmse": 2.0, "r2": 0.3}
+    name, cv_rmse_log, params, metrics = "SVM", 0.4187516, {"epsilon": 0.375}, {"mae": 31.5, "rmse": 47.25, "r2": 0.61}
 
 
 def test_report_rounds_and_makes_its_folder(spark, tmp_path):
     write_report(results_table(spark, [Result]), f"file://{tmp_path}/nested/deeper/metrics.csv")
     row = pd.concat(pd.read_csv(p) for p in (tmp_path / "nested" / "deeper" / "metrics.csv").glob("*.csv")).iloc[0]
-    assert (row["model"], row["cv_rmse_log"], row["best_params_json"]) == ("ElasticNet", 0.123457, '{"alpha": 0.5}')
+    assert (row["model"], row["cv_rmse_log"], row["best_params_json"]) == ("SVM", 0.418752, '{"epsilon": 0.375}')
 
 
 def test_csv_with_breaks_quotes_and_missing_texts(spark, tmp_path):
