@@ -28,13 +28,14 @@ CAPACITY = 1024
 CLOSING_ID = 2
 #: Parts of texts whose ids a worker remembers, in each of two generations.
 REMEMBERED_PARTS = 500_000
+#: Parts seen for the first time that are encoded as one text.
+PARTS_AT_ONCE = 512
 #: Pieces that one numbering group holds.
 PIECES_PER_GROUP = 50_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: What a tokenizer may take for white space, beyond what Python does.
 _UNSAFE = object()
-_TAIL = ".,;:!?#$%&*"
 _ODD_SPACE = "\u180e\u200b\u200c\u200d\ufeff"
 
 
@@ -56,33 +57,39 @@ class Encoder:
         # Ids of a space and the part; no bytes at all where the part makes a text unsafe to cut.
         self.young: dict[str, bytes | object] = {}
         self.old: dict[str, bytes | object] = {}
-        self.tails: dict[str, bytes] = {}
+        #: Tokens that begin with a space byte, in the byte-level alphabet.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _ids_after_space(self, parts: list[str]) -> list[bytes]:
+        """Ids of a space and each part. Many parts go as one text: each holds one space byte, in its first token."""
+        found = []
+        for at in range(0, len(parts), PARTS_AT_ONCE):
+            some = parts[at : at + PARTS_AT_ONCE]
+            joined = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            ids = np.array(joined[0].ids, "<u4")
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) != len(some) or begins[0]:  # an added token that takes the space before it
+                found += self._ids([" " + p for p in some])
+                continue
+            body, edges = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+            found += [body[i:j] for i, j in zip(edges, edges[1:])]
+        return found
+
     def _learn(self, parts: set[str]) -> None:
-        young, old = self.young, self.old
-        known = {p: old[p] for p in parts if p in old}
-        whole, split = [], []
+        new = []
         for p in parts:
-            if p not in known:
-                # Letters and a run of punctuation after them are two pre-tokens, whatever stands around.
-                stem = p.rstrip(_TAIL)
-                if len(stem) < len(p) and stem.isalpha():
-                    split.append((p, stem, p[len(stem) :]))
-                else:
-                    whole.append(p)
-        young.update(known)
-        stems = {s for _, s, _ in split if s not in young}
-        young.update((s, old[s]) for s in stems if s in old)
-        whole.extend(s for s in stems if s not in young and s not in parts)
-        tails = [t for t in {t for _, _, t in split} if t not in self.tails]
-        self.tails.update(zip(tails, self._ids(tails), strict=True))
-        young.update(zip(whole, self._ids([" " + p for p in whole]), strict=True))
-        young.update((p, _UNSAFE) for p in whole if not p or p[0].isspace() or p[0] in _ODD_SPACE)
-        young.update((p, young[s] + self.tails[t]) for p, s, t in split)
+            if p in self.old:
+                self.young[p] = self.old[p]
+            elif not p or p[0].isspace() or p[0] in _ODD_SPACE:
+                self.young[p] = _UNSAFE
+            else:
+                new.append(p)
+        self.young.update(zip(new, self._ids_after_space(new), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -102,7 +109,7 @@ class Encoder:
             except TypeError:  # an unsafe part
                 result.append(self._ids([text])[0])
         if len(self.young) > self.remembered:
-            self.old, self.young, self.tails = self.young, {}, {}
+            self.old, self.young = self.young, {}
         return result
 
 

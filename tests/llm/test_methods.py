@@ -202,10 +202,15 @@ def test_encoder_cuts_only_where_ids_stay():
     encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), remembered=500)
     draw = random.Random(4)
     parts = ["a", "Foo", " ", " ", "\n", "\t", "1", "!", "'s", "é", "x y", "\r", "word.", "word..", " ", "<|endoftext|>"]
-    for _ in range(4000):
-        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 14)))
-        want = brute.TOKENIZER.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(4000)]
+    want = [brute.TOKENIZER.encode(text, add_special_tokens=False).ids for text in texts]
+    for text, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids
+    # New parts of many texts are encoded together.
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), remembered=500)
+    for at in range(0, len(texts), 250):
+        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[at : at + 250])]
+        assert found == want[at : at + 250]
 
 
 def test_license_spans(spark):
