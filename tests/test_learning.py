@@ -5,7 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lodgecast.learning import dense_net, kernel_svr, regressors
+from lodgecast.learning import dense_net, descent, kernel_svr, regressors
 from lodgecast.learning.features import PopulationScaler, TargetMeanEncoder, feature_names, feature_pipeline
 from lodgecast.operators.encoding import scale_columns, target_means_by_fold
 
@@ -116,7 +116,7 @@ def test_network_gradient_matches_differences():
     for activation in ("relu", "tanh"):
         shapes = [(3, 4), (4, 1)]
         flat, x, y = random.normal(0, 1, 21), random.normal(0, 1, (8, 3)), random.normal(0, 1, 8)
-        loss = dense_net.squared_loss(shapes, activation, 0.0)
+        loss = dense_net.squared_loss(shapes, activation)
         _, slope = loss(flat, x, y)
         for i in range(21):
             step = np.zeros(21)
@@ -125,17 +125,62 @@ def test_network_gradient_matches_differences():
 
 
 def test_training_does_not_depend_on_partitions(spark):
-    """Two models, laid out in 1, 7 and 60 partitions: the same losses."""
+    """Two models, laid out in 2, 24 and 200 partitions: the same losses. The last adds up its sums in tasks."""
     _, _, rows = linear_data(spark, n=900)
     for make in (
-        lambda: dense_net.DenseNetRegressor(hiddenLayers=[6], learningRate=0.02, batchSize=16, maxIter=3, passes=2),
-        lambda: kernel_svr.KernelTubeRegressor(C=1.0, epsilon=0.1, components=32, maxIter=3, batchSize=32),
+        lambda: dense_net.DenseNetRegressor(hiddenLayers=[6], learningRate=0.02, batchSize=16, maxIter=3, steps=2),
+        lambda: kernel_svr.KernelTubeRegressor(C=1.0, epsilon=0.1, components=32, maxIter=3, batchSize=32, steps=2),
     ):
-        histories = [make().fit(rows.repartition(n)).history for n in (1, 7, 60)]
+        histories = [make().fit(rows.repartition(n)).history for n in (2, 24, 200)]
         np.testing.assert_allclose(histories[1], histories[0], rtol=1e-6)
         np.testing.assert_allclose(histories[2], histories[0], rtol=1e-6)
 
 
+def test_steps_are_those_of_a_plain_run(spark):
+    """One step for each round over all rows: the losses of the same steps in numpy."""
+    x, y, rows = linear_data(spark, n=200)
+    shapes = [(3, 5), (5, 1)]
+    settings = descent.Descent(0.05, 16, 6, steps=1)
+    start = np.random.default_rng(8).normal(0, 0.5, 26)
+    loss, decay = dense_net.squared_loss(shapes, "tanh"), dense_net.weight_decay(shapes, 2.0)
+    got, history, settled = descent.descend(descent.training_rows(rows), start, loss, decay, settings)
+    w, first, second, want = start.copy(), 0.0, 0.0, []
+    for t in range(1, 7):
+        value, slope = loss(w, x, y)
+        want.append(value / 200)
+        slope = slope / 200
+        slope[:15] += 0.01 * w[:15]
+        slope[20:25] += 0.01 * w[20:25]
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        w = w - 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    np.testing.assert_allclose(history, want, rtol=1e-9)
+    np.testing.assert_allclose(got, w, rtol=1e-7)
+    assert not settled
+
+
+def test_sparse_and_dense_vectors_give_the_same_blocks(spark, monkeypatch):
+    monkeypatch.setattr(descent, "BLOCK_CELLS", 12)  # four rows at a time
+    x = np.random.default_rng(2).normal(0, 1, (37, 3)) * (np.arange(37 * 3).reshape(37, 3) % 2)
+    vectors = [Vectors.dense(v) if i % 3 else Vectors.sparse(3, [(j, v[j]) for j in range(3) if v[j]]) for i, v in enumerate(x)]
+    rows = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(vectors)], ["id", "features", "label"])
+
+    def plain(weights, block, y):
+        return float(y.sum()), block.T @ y
+
+    n, loss, slope = descent.summed(descent.training_rows(rows.repartition(2)), np.zeros(3), plain, 4)
+    assert (n, loss) == (37, 36 * 37 / 2)
+    np.testing.assert_allclose(slope, x.T @ np.arange(37))
+
+
+def test_every_partition_works_in_every_step(spark):
+    """No layout by key: each task that holds rows gives a sum of its own."""
+    _, _, rows = linear_data(spark, n=900)
+    spread = descent.training_rows(rows.repartition(12))
+    half = spread.filter("place < 0.5")
+    tasks = half.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == 12
+
+
 def test_network_learns_clips_and_reloads(spark, tmp_path):
     _, y, rows = linear_data(spark)
     model = dense_net.DenseNetRegressor(hiddenLayers=[8], learningRate=0.02, batchSize=16, maxIter=15, activation="tanh").fit(rows)
