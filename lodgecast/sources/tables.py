@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodgecast.schema import LISTING_SCHEMA
+from lodgecast.sources.quoted_csv import csv_records
 
 # Texts that stand for a missing value in a listing file.
 MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -25,22 +26,21 @@ METADATA_SCHEMA = (
 )
 
 
-def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_listings_csv(spark: SparkSession, path: str, loose_quotes: bool = False) -> DataFrame:
     """Listing file with a header, quoted line breaks and doubled quotes; the schema is stated, not guessed.
 
     Every column is read as text first, so that all missing-value texts count and a malformed number
-    becomes NULL instead of failing the job.
+    becomes NULL instead of failing the job. Many tasks read one file; ``loose_quotes`` is for files with bare
+    quotes in unquoted fields, which say where a record ends only when read from the start, one task for each file.
     """
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in LISTING_SCHEMA])
-    rows = (
-        spark.read.schema(texts)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    if loose_quotes:
+        reader = spark.read.schema(texts).options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+        rows = reader.csv(path)
+    else:
+        records = csv_records(spark, path, texts.fieldNames())
+        ddl = ", ".join(f"`{name}` string" for name in texts.fieldNames())
+        rows = records.select(F.from_csv("record", ddl, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
     typed = []
     for field in LISTING_SCHEMA:
         value = F.when(~F.col(field.name).isin(*MISSING_TEXTS), F.col(field.name))
