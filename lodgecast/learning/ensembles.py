@@ -1,6 +1,9 @@
 """Voting and stacking of fitted pipelines."""
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import combinations
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -9,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgecast import schema as S
-from lodgecast.learning.regressors import ridge
+from lodgecast.learning.features import feature_pipeline
+from lodgecast.learning.regressors import SCALED_MODELS, build, ridge
 from lodgecast.learning.search import Tuned, out_of_fold_table, test_metrics, written
 from lodgecast.learning.tables import TableState
 from lodgecast.operators.metrics import cv_log_rmse
@@ -120,21 +124,57 @@ def vote_by_weight(chosen: list[Tuned], test: DataFrame, trials: int, seed: int
     return tuned
 
 
-def stack(chosen: list[Tuned], test: DataFrame, folds: int = S.FOLDS) -> Tuned:
-    """Ridge over out-of-fold predictions. Its own score holds out one fold of those predictions at a
-    time; base models are not fitted again inside the folds."""
+def nested_predictions(
+    train: DataFrame, chosen: list[Tuned], folds: int = S.FOLDS, parallelism: int = S.FOLDS, **columns
+) -> DataFrame:
+    """``outer, id, fold, label, model, prediction``: out-of-fold predictions inside the training side of each outer fold.
+
+    What is fitted without two folds serves both: it predicts the second for the first as outer fold, and the other way
+    round. So encoders and models are fitted once for each pair of folds, and each pair's rows are written once.
+    """
+    if folds < 3:
+        raise ValueError("nested folds need three folds or more")
+
+    def pair(without: tuple[int, int]) -> DataFrame:
+        left_out = F.col("fold").isin(*without)
+        scored = []
+        for scale in sorted({r.name in SCALED_MODELS for r in chosen}):
+            encoder = feature_pipeline(scale, **columns).fit(train.filter(~left_out))
+            rows = written(encoder.transform(train).select("id", "fold", "label", "features"), "nested-rows")
+            inside, outside = rows.filter(~left_out), rows.filter(left_out)
+            for r in chosen:
+                if (r.name in SCALED_MODELS) == scale:
+                    fitted = build(r.name, r.params, inside).fit(inside).transform(outside)
+                    scored.append(fitted.select("id", "fold", "label", F.lit(r.name).alias("model"), "prediction"))
+        table = reduce(DataFrame.unionByName, scored)
+        return written(table.withColumn("outer", F.lit(sum(without)) - F.col("fold")), "nested")
+
+    with ThreadPoolExecutor(max_workers=max(parallelism, 1)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(pair, combinations(range(folds), 2)))
+
+
+def stack(chosen: list[Tuned], test: DataFrame, train: DataFrame, folds: int = S.FOLDS, parallelism: int = S.FOLDS,
+          **columns) -> Tuned:
+    """Ridge over out-of-fold predictions.
+
+    Its own score is nested: for each outer fold the final model learns from predictions that encoders and base models
+    made without that fold, and is judged on the fold. ``train`` carries ``id, label, fold`` and the prepared columns.
+    """
     models = {r.name: r.pipeline for r in chosen}
     rows = stack_vector(_columns(chosen), list(models))
+    nested = nested_predictions(train, chosen, folds, parallelism, **columns)
+    inner = prediction_columns(nested, list(models), ("outer", "id", "fold", "label"))
+    inner = stack_vector(inner, list(models)).persist()
 
     def final(train: DataFrame) -> LinearRegressionModel:
         return ridge(1.0, train).setFeaturesCol("stack").fit(train)
 
-    scored = None
-    for f in range(folds):
-        part = final(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f))
-        part = part.select("fold", "label", "prediction", F.lit("s").alias("model"))
-        scored = part if scored is None else scored.unionByName(part)
-    value = cv_log_rmse(scored).first()["cv_rmse_log"]
+    def held_out(f: int) -> DataFrame:
+        part = final(inner.filter(F.col("outer") == f)).transform(rows.filter(F.col("fold") == f))
+        return part.select("fold", "label", "prediction", F.lit("s").alias("model"))
+
+    value = cv_log_rmse(reduce(DataFrame.unionByName, map(held_out, range(folds)))).first()["cv_rmse_log"]
+    inner.unpersist()
     params = {"estimators": ",".join(models), "meta_model": "Ridge(alpha=1.0)"}
     return _scored("StackingEnsemble", value, params, StackingModel(models, final(rows)), test)
 

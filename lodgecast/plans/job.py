@@ -105,7 +105,8 @@ def run(raw: DataFrame, settings: Settings, source: str = "", log=print) -> list
     weights = settings.trial_count("VotingEnsembleWeighted")
     stage("VotingEnsembleEqual", None, lambda: ensembles.vote_equally(with_folds(), test))
     stage("VotingEnsembleWeighted", weights, lambda: ensembles.vote_by_weight(with_folds(), test, weights))
-    stage("StackingEnsemble", None, lambda: ensembles.stack(with_folds(), test))
+    stage("StackingEnsemble", None, lambda: ensembles.stack(
+        with_folds(), test, train, parallelism=settings.parallelism, **settings.columns))
     return done
 
 
