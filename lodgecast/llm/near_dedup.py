@@ -5,14 +5,17 @@ minima; every pair of a band of the first and one of the second is a table key.
 
 1. One row for each document: size and digest of its shingle set, and the minima. Equal sets form a class.
 2. Table keys of the classes; a bucket links each member to its smallest and largest member. A candidate link stays if
-   the minima agree in at least ``agree`` places (a pair at the threshold agrees in 18 of 24 on average).
+   the *sketches* of its two sets agree: a sketch keeps one byte for the smallest hash in each of 128 bins, found in one
+   pass over the set, and estimates the similarity with a deviation of 0.04 at the threshold. So documents that share
+   only boilerplate do not chain. Members of a bucket that resemble neither end are dealt once more, by the bucket and
+   each of their bands, so that a pair hidden in a bucket of boilerplate still meets.
 3. Components of the candidate links are clusters. Inside a cluster all sets are compared exactly, by walking from text
    to text over those not reached yet. A cluster above ``block_shingles`` is dealt into blocks and each pair of blocks is
    a task, so no task holds more than two blocks, and a task returns one link for each text at most.
 4. Components of the exact links give the result.
 
-Rows whose id is null have a size but no links, and are kept. Rows that share an id are one node: what links to one of
-them links to all. Null and empty texts have an empty set. Every row of the input gives one row; other columns are
+Rows whose id is null have a size but no links, and are kept. Rows that share an id belong together: what links to one
+of them links to all. Null and empty texts have an empty set. Every row of the input gives one row; other columns are
 ignored.
 """
 
@@ -34,11 +37,13 @@ SHINGLE = 5
 PERCENT = 75
 FIRST, FIRST_ROWS = 9, 2
 SECOND, SECOND_ROWS = 6, 1
-AGREE = 9
+BINS = 128
+#: A candidate link may estimate this much below the threshold: over four deviations of a sketch's estimate.
+SLACK_PERCENT = 17
 BLOCK_SHINGLES = 1_500_000
 
 _MINIMA = FIRST * FIRST_ROWS + SECOND * SECOND_ROWS
-_SEEDS = mixed(np.arange(1, _MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mixed(np.arange(1, _MINIMA + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -52,7 +57,17 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 
 def minima(found: np.ndarray) -> np.ndarray:
-    return np.array([mixed(found ^ seed).min() for seed in _SEEDS], np.uint64)
+    return np.array([mixed(found ^ seed).min() for seed in _SEEDS[:-1]], np.uint64)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One byte for each bin: 0 where no hash falls, else a digest of the smallest hash there."""
+    hashes = np.sort(mixed(found ^ _SEEDS[-1]))
+    places = (hashes >> np.uint64(57)).astype(np.int64)
+    first = np.r_[True, places[1:] != places[:-1]]
+    out = np.zeros(BINS, np.uint8)
+    out[places[first]] = hashes[first] % np.uint64(255) + np.uint64(1)
+    return out
 
 
 def bands(least: np.ndarray) -> tuple[list[int], list[int]]:
@@ -71,7 +86,7 @@ def _row_hashes(table: np.ndarray) -> list[int]:
     return total.view(np.int64).tolist()
 
 
-_SIGNED = "doc_id long, digest long, n_shingles long, set_id binary, agree binary, first array<long>, second array<long>"
+_SIGNED = "doc_id long, digest long, n_shingles long, set_id binary, sketch binary, first array<long>, second array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +102,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = minima(found)
             first, second = bands(least)
             set_id = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-            # One byte of each minimum is enough to estimate how many agree.
-            out.append((id_, digest, len(found), set_id, least.astype(np.uint8).tobytes(), first, second))
+            out.append((id_, digest, len(found), set_id, sketch(found).tobytes(), first, second))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names
         ) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names)
@@ -105,30 +119,59 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.explode(pairs).alias("key"))
 
 
-def candidate_links(classes: DataFrame, agree: int = AGREE) -> DataFrame:
-    """a, b: members of one bucket and its smallest or largest member, if enough of their minima agree."""
-    keys = table_keys(classes)
+def members(keys: DataFrame) -> DataFrame:
+    """node, key, low and high: members of the buckets that hold more than one, with the bucket's ends."""
     ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    return keys.join(ends, "key").select("node", "key", "low", "high")
+
+
+def similar(met: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """a, b: members and ends whose sketches agree in ``least`` percent of the bins that either uses."""
     # Both ends in one pass over the members; a bucket of two gives its one link once.
-    met = keys.join(ends, "key").select(
+    pairs = met.select(
         F.col("node").alias("a"),
         F.explode(F.array_compact(F.array(
             F.when(F.col("node") != F.col("low"), F.col("low")),
             F.when((F.col("node") != F.col("low")) & (F.col("node") != F.col("high")), F.col("high")),
         ))).alias("b"),
     ).distinct()
-    small = classes.groupBy("node").agg(F.min("agree").alias("agree"))
-    met = met.join(small.select(F.col("node").alias("a"), F.col("agree").alias("x")), "a")
-    met = met.join(small.select(F.col("node").alias("b"), F.col("agree").alias("y")), "b")
+    pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    pairs = pairs.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, _MINIMA) for n in ("x", "y")
-            )
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= agree))
+            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, BINS) for n in ("x", "y"))
+            common = ((x == y) & (x > 0)).sum(1)
+            used = ((x > 0) | (y > 0)).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(100 * common >= least * used))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def unsettled(met: DataFrame, links: DataFrame) -> DataFrame:
+    """node and key: members that resemble neither end of their bucket."""
+    rest = met.filter("node <> low and node <> high")
+    for end in ("low", "high"):
+        rest = rest.join(links.select(F.col("a").alias("node"), F.col("b").alias(end)), ["node", end], "left_anti")
+    return rest.select("node", "key")
+
+
+def finer_keys(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and key: each bucket is dealt by every band of its members."""
+    bands_of = classes.select("node", F.concat("first", "second").alias("bands"))
+    return rest.join(bands_of, "node").select(
+        "node", F.explode(F.transform("bands", lambda band: F.xxhash64("key", band))).alias("key")
+    )
+
 
-    return met.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+def candidate_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: members of one bucket whose sketches say that they may be linked."""
+    least = percent - SLACK_PERCENT
+    sketches = classes.select("node", "sketch")
+    met = written(members(table_keys(classes)), "met")
+    links = written(similar(met, sketches, least), "links")
+    finer = finer_keys(unsettled(met, links), classes)
+    return links.union(similar(members(finer), sketches, least))
 
 
 def _linked(left: np.ndarray, right_sizes: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -210,7 +253,7 @@ def exact_links(
 
 
 def near_dedup(
-    docs: DataFrame, percent: int = PERCENT, agree: int = AGREE, block_shingles: int = BLOCK_SHINGLES,
+    docs: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
@@ -219,23 +262,28 @@ def near_dedup(
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
         F.col(text).alias("text"),
     )
-    signed = written(signatures(plain), "signed")
+    # A class of equal sets is a node; rows without an id or without words belong to none.
+    node = F.when(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull(), F.xxhash64("set_id"))
+    signed = written(signatures(plain).withColumn("node", node).drop("set_id"), "signed")
     classes = (
-        signed.filter("doc_id is not null and set_id is not null")
-        .groupBy("set_id")
-        .agg(F.min(F.struct("doc_id", "digest", "n_shingles", "agree", "first", "second")).alias("one"))
-        .select("set_id", F.col("one.doc_id").alias("node"), "one.*")
+        signed.filter("node is not null")
+        .groupBy("node")
+        .agg(F.min(F.struct("doc_id", "digest", "n_shingles", "sketch", "first", "second")).alias("one"))
+        .select("node", "one.*")
     )
     classes = written(classes, "classes")
-    clusters = components(candidate_links(classes, agree))
-    members = clusters.join(classes.select("node", "doc_id", "digest", "n_shingles"), "node")
+    clusters = components(candidate_links(classes, percent))
+    clustered = clusters.join(classes.select("node", "doc_id", "digest", "n_shingles"), "node")
     # Rows that share an id belong together, whatever their sets.
-    known = signed.select("doc_id", "set_id").filter("doc_id is not null").join(classes.select("set_id", "node"), "set_id")
+    known = signed.select("doc_id", "node").filter("node is not null")
     shared = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     shared = shared.join(known, "doc_id").select("a", F.col("node").alias("b"))
-    found = components(exact_links(plain, members, percent, block_shingles).union(shared))
-    result = signed.join(classes.select("set_id", "node"), "set_id", "left").join(found, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    found = components(exact_links(plain, clustered, percent, block_shingles).union(shared))
+    result = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left")
+    result = result.withColumn("component", F.coalesce("component", "node"))
+    smallest = result.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    result = result.join(smallest, "component", "left")
+    component = F.coalesce("smallest", "doc_id")
     return result.select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
     )

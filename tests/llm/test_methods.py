@@ -7,12 +7,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodgecast.llm import chat_format as chat
 from lodgecast.llm import decontamination as benchmark
 from lodgecast.llm import license_scan as licenses
 from lodgecast.llm import lm_score as lm
+from lodgecast.llm import near_dedup as near
 from lodgecast.llm import packing
 from lodgecast.llm import warc_fixity as warc
 from lodgecast.llm.components import components
@@ -268,6 +270,67 @@ def test_near_dedup_chains_and_blocks(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
 
 
+def _with_footer(draw, shared, pairs, alone):
+    """Texts of 200 words that all end in the same ``shared`` words; copies of the first few differ in a few words."""
+    footer = [f"f{k}" for k in range(shared)]
+    texts = {}
+    for k in range(pairs + alone):
+        own = [f"{draw.randrange(10**9)}" for _ in range(200 - shared)]
+        texts[k] = " ".join(own + footer)
+        if k < pairs:
+            for at in draw.sample(range(len(own)), 2):
+                own[at] = "changed"
+            texts[10_000 + k] = " ".join(own + footer)
+    return texts
+
+
+@pytest.mark.parametrize("shared", [60, 100, 120])
+def test_boilerplate_does_not_chain(spark, shared):
+    """Candidate clusters are no larger than the true ones, and no pair of near copies is lost."""
+    texts = _with_footer(random.Random(shared), shared, 60, 700)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = near_dedup(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.near_components(texts)
+    signed = near.signatures(docs.withColumn("digest", F.xxhash64("text")))
+    clusters = components(near.candidate_links(signed.withColumnRenamed("doc_id", "node")))
+    assert {r["count"] for r in clusters.groupBy("component").count().collect()} == {2}
+
+
+def test_pairs_hidden_in_one_bucket(spark):
+    """Near copies that meet in a bucket whose ends resemble neither are found by the finer buckets."""
+    texts = _with_footer(random.Random(1), 60, 40, 200)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = near.signatures(docs.withColumn("digest", F.xxhash64("text"))).withColumnRenamed("doc_id", "node")
+    one_bucket = near.members(signed.select("node", F.lit(1).alias("key")))
+    sketches = signed.select("node", "sketch")
+    first = near.similar(one_bucket, sketches, 58)
+    rest = near.unsettled(one_bucket, first)
+    pairs = {(r["a"], r["b"]) for r in near.similar(near.members(near.finer_keys(rest, signed)), sketches, 58).collect()}
+    assert sum((10_000 + k, k) in pairs or (k, 10_000 + k) in pairs for k in range(1, 39)) >= 37
+
+
+def test_rows_that_share_an_id(spark):
+    """Each text of an id finds its own copies, and all that links to one of them links to all."""
+    draw = random.Random(3)
+    one, two, three = (" ".join(f"{draw.randrange(10**9)}" for _ in range(80)) for _ in range(3))
+    rows = [(9, one), (9, two), (4, one + " more"), (7, two + " more"), (5, three), (None, two)]
+    found = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [
+        (0, 0, True), (4, 4, True), (5, 5, True), (7, 4, False), (9, 4, False), (9, 4, False)
+    ]
+
+
+def test_sketch():
+    draw = np.random.default_rng(5)
+    off = []
+    for size in (8, 40, 400, 4_000):
+        for _ in range(200):
+            union = draw.integers(0, 2**64, size, np.uint64)
+            x, y = near.sketch(np.sort(union)), near.sketch(np.sort(union[: size * 3 // 4]))
+            off.append(((x == y) & (x > 0)).sum() / ((x > 0) | (y > 0)).sum() - 0.75)
+    assert min(off) > -near.SLACK_PERCENT / 100 and abs(np.mean(off)) < 0.02
+
+
 def test_components(spark):
     draw = random.Random(7)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 460)]
