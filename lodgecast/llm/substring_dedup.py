@@ -31,6 +31,9 @@ ANCHOR = 8
 PACK = 1_000_000
 #: Characters of input for each hash bucket of a counting round: about a million windows.
 CHARS_PER_BUCKET = 6_000_000
+#: A task of the counting rounds takes this many buckets, one after another, within these numbers of tasks.
+BUCKETS_PER_TASK = 16
+FEWEST_TASKS, MOST_TASKS = 200, 20_000
 
 _PACKED = "bucket int, hashes binary, owners binary, places binary, texts binary"
 _NAMES = ("bucket", "hashes", "owners", "places", "texts")
@@ -86,6 +89,9 @@ def _batch(found: list[tuple]) -> pa.RecordBatch:
 
 def _packer(spots: Callable, buckets: int) -> Callable:
     """A task that packs what ``spots`` finds in each row: digest, hashes, second hashes and places."""
+    # Rows for very many buckets would be short: packs grow with the buckets, up to four times.
+    pack = min(max(PACK, 100 * buckets), 4 * PACK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = {}, 0
         for row in rows(batches):
@@ -94,7 +100,7 @@ def _packer(spots: Callable, buckets: int) -> Callable:
             if part is not None and len(part[1]) and part[0] not in parts:
                 parts[part[0]] = part
                 held += len(part[1])
-            if held >= PACK:
+            if held >= pack:
                 yield _batch(list(_pack(list(parts.values()), buckets)))
                 parts, held = {}, 0
         if parts:
@@ -194,11 +200,17 @@ def _counter(groups: int) -> Callable:
     return run
 
 
+def reduce_tasks(buckets: int) -> int:
+    """Tasks for the buckets of a round. A task sorts its rows on disk and holds one bucket, however many it takes."""
+    return min(buckets, max(FEWEST_TASKS, -(-buckets // BUCKETS_PER_TASK)), MOST_TASKS)
+
+
 def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
     """digest and places of what was packed at more than one place, one row for each text."""
-    spread = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    tasks = reduce_tasks(buckets)
+    spread = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     back = spread.mapInArrow(_counter(buckets), "group int, digests binary, places binary")
-    return back.repartition(buckets, "group").sortWithinPartitions("group").mapInArrow(_gather, _PLACES)
+    return back.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(_gather, _PLACES)
 
 
 def _unpacked(places: bytes | None) -> np.ndarray:
