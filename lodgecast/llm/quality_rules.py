@@ -1,5 +1,8 @@
 """Quality rules: a threshold table compiled into one projection, without user functions.
 
+The stop words are those of four languages: a text of 50 words or more in another language is rejected unless a caller
+passes ``rules`` without that row or with another threshold.
+
 Null and empty texts have no words, so they fail the base rules and are not kept. Every row of the input gives one row;
 repeated rows stay repeated, other columns of the input are ignored.
 """
@@ -35,7 +38,7 @@ STOP_WORDS = (
 class Rule:
     """Reject a text whose ``part / whole`` lies outside [low, high]; both are names of measured columns.
 
-    With ``least`` the rule holds only for texts of so many words.
+    With ``least`` the rule holds only for texts of so many words, with ``spare`` only where ``part`` is above it.
     """
 
     part: str
@@ -43,14 +46,16 @@ class Rule:
     low: float = float("-inf")
     high: float = float("inf")
     least: int = 0
+    spare: int = -1
 
 
-#: The threshold table. Lengths are in code points for each word, all others are shares.
+#: The threshold table. Lengths are in code points for each word, all others are shares. One line said twice is no sign
+#: of a bad text of three lines, so repeated lines count from four on.
 RULES = (
     Rule("word_chars", "n_words", 2.0, 14.0),
     Rule("n_symbols", "n_words", high=0.25),
     Rule("n_stop_words", "n_words", 0.02, least=50),
-    Rule("n_dup_lines", "n_lines", high=0.3),
+    Rule("n_dup_lines", "n_lines", high=0.3, spare=3),
     Rule("n_bullet_lines", "n_lines", high=0.9),
     Rule("n_ellipsis_lines", "n_lines", high=0.3),
 )
@@ -151,7 +156,7 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
             inside = inside & (part >= whole * rule.low)
         if rule.high < float("inf"):
             inside = inside & (part <= whole * rule.high)
-        verdict = verdict & ((F.col("n_words") < rule.least) | inside)
+        verdict = verdict & ((F.col("n_words") < rule.least) | (part <= rule.spare) | inside)
     return verdict
 
 

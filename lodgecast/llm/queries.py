@@ -76,7 +76,7 @@ select *, not base_failed
   and word_chars >= n_words * 2.0::double and word_chars <= n_words * 14.0::double
   and n_symbols <= n_words * 0.25::double
   and (n_words < 50 or n_stop_words >= n_words * 0.02::double)
-  and n_dup_lines <= n_lines * 0.3::double
+  and (n_dup_lines <= 3 or n_dup_lines <= n_lines * 0.3::double)
   and n_bullet_lines <= n_lines * 0.9::double
   and n_ellipsis_lines <= n_lines * 0.3::double as kept
 from based

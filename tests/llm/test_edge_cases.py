@@ -91,6 +91,12 @@ def test_quality(docs, nothing):
     found = {r["doc_id"]: r for r in quality_rules(docs.filter("doc_id is not null")).collect()}
     assert all(found[i]["base_failed"] and not found[i]["kept"] for i in (1, 2, 3, 5, 6))
     assert quality_filter(docs).columns == docs.columns
+    line = "the cat saw birds"
+    few = "\n".join([line, line, " ".join(f"word{k}" for k in range(30))])
+    many = "\n".join(f"{line} {k // 2}" for k in range(8))
+    frame = docs.sparkSession.createDataFrame([(1, few), (2, many)], "doc_id long, text string")
+    by = {r["doc_id"]: r for r in quality_rules(frame).collect()}
+    assert (by[1]["n_dup_lines"], by[1]["kept"], by[2]["n_dup_lines"], by[2]["kept"]) == (1, True, 4, False)
     assert quality_filter(nothing).collect() == []
 
 
@@ -159,6 +165,14 @@ def test_stages(spark, docs, nothing, small, stage):
     assert function(spark, nothing, small).collect() == []
 
 
+def test_near_stage_keeps_other_texts_of_an_id(spark, docs, small):
+    texts = [" ".join(f"{name}{k}" for k in range(60)) for name in "ab"]
+    rows = [(1, t) for t in texts for _ in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1))
+    found = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame, small)
+    assert found.columns == frame.columns and sorted(r["text"] for r in found.collect()) == texts
+
+
 def test_stages_keep_nulls_apart(spark, docs, small):
     stages = dict(corpus_pipeline.STAGES)
     found = stages["near_dedup"](spark, docs, small)
