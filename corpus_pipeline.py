@@ -2,8 +2,8 @@
 
 Each stage takes the documents that its predecessor kept and reads them as they were written. All but the last return
 the columns of documents; extra columns of the input are carried along. Rows without an id are judged by their text in
-all stages but near-duplicate removal, which keeps them; of rows that share an id, that stage keeps one. A document whose
-words are all repeated elsewhere has no text after the third stage and goes there.
+all stages but near-duplicate removal, which keeps them; of equal rows that share an id, that stage keeps one. A document
+whose words are all repeated elsewhere has no text after the third stage and goes there.
 """
 
 from __future__ import annotations
@@ -32,10 +32,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. A repeated row goes too."""
+    """One document of each group of near copies stays: the one with the smallest id. A repeated row goes too.
+
+    Different texts under one id are one document and stay or go together.
+    """
     kept = near_dedup(docs).filter("kept").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    return stay.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
