@@ -127,8 +127,9 @@ def members(keys: DataFrame) -> DataFrame:
 
 def similar(met: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """a, b: members and ends whose sketches agree in ``least`` percent of the bins that either uses."""
-    # Both ends in one pass over the members; a bucket of two gives its one link once.
-    pairs = met.select(
+    # Members of one group meet the same ends in bucket after bucket: each such triple is kept once before it is written
+    # out as links. Both ends in one pass over the members; a bucket of two gives its one link once.
+    pairs = met.select("node", "low", "high").distinct().select(
         F.col("node").alias("a"),
         F.explode(F.array_compact(F.array(
             F.when(F.col("node") != F.col("low"), F.col("low")),
