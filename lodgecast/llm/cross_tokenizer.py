@@ -220,7 +220,7 @@ class Aligned:
         form_b[self.group_b] += half
         # A token stands after the tokens of both sides in earlier groups; within a group, A goes first.
         place_a, place_b = (
-            np.searchsorted(ends, np.arange(len(own))) for ends, own in ((self.group_a, self.a), (self.group_b, self.b))
+            np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1)) for ends in (self.group_a, self.group_b)
         )
         b_before = np.append(0, self.group_b + 1)[place_a]
         a_before = self.group_a[place_b] + 1
