@@ -21,6 +21,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodgecast.llm.packing import Encoder
+from lodgecast.llm.packing import ODD_SPACE, Encoder
 from lodgecast.llm.scratch import written
 from lodgecast.llm.words import rows
 
@@ -37,8 +38,8 @@ from lodgecast.llm.words import rows
 BLOCK_LINKS = 4_000_000
 #: Characters that are encoded and aligned at once.
 STEP_CHARS = 400_000
-#: Parts of texts whose ids a worker remembers, in each of two generations.
-REMEMBERED_PARTS = 300_000
+#: Parts of texts whose ids a worker remembers; beyond it the memory starts anew.
+REMEMBERED_PARTS = 500_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -66,55 +67,100 @@ class Spelling:
 
 
 class Side(Spelling):
-    """A tokenizer: ids of texts, and the bytes of every id."""
+    """A tokenizer: the bytes of every id, ids of whole texts, and ids of parts that stand between spaces, all end to end
+    with how many each part has."""
 
-    def __init__(self, entries: list[bytes], encode):
+    def __init__(self, entries: list[bytes], whole, after_space):
         super().__init__(entries)
-        self.encode = encode
+        self.whole, self.after_space = whole, after_space
 
 
-class PieceEncoder:
-    """Ids of texts by a sentence-piece model, each distinct part between spaces encoded once by a worker.
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
-    Merges never cross from a part to the space after it where no piece of the model has a space behind another character.
-    Runs of spaces may merge, so a text with an empty part is encoded whole, as is every text of another model.
+
+class Parts:
+    """Ids of texts by both tokenizers, each distinct part between spaces encoded once by a worker.
+
+    A text is cut at its spaces once for both sides, its parts become numbers, and the ids of a number lie in one array for
+    each side. The byte-level side may be cut like this unless a part is empty or begins with white space, the piece side
+    unless one is empty or holds the sign for a space: merges never cross from a part to the space after it where no piece
+    has a space behind another character. Such texts are encoded whole, as is every text where a model has other pieces.
     """
 
-    def __init__(self, model, remembered: int = REMEMBERED_PARTS):
-        self.model, self.remembered = model, remembered
-        self.known: dict[str, bytes] = {}
-        self.cuts = not any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x).tobytes() for x in self.model.encode(texts, num_threads=1)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.remembered:
-            self.known = {}
-        found = [b""] * len(texts)
-        cut = [text.split(" ") for text in texts]
-        whole = [i for i, parts in enumerate(cut) if not self.cuts or "" in parts]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            found[i], cut[i] = ids, []
-        new = list({part for parts in cut for part in parts} - self.known.keys())
-        self.known.update(zip(new, self._ids(new), strict=True))
-        for i, parts in enumerate(cut):
-            if parts:
-                found[i] = b"".join(map(self.known.__getitem__, parts))
-        return [np.frombuffer(ids, np.uint32) for ids in found]
+    def __init__(self, sides: tuple[Side, Side], cuts: bool, remembered: int = REMEMBERED_PARTS):
+        self.sides, self.cuts, self.remembered = sides, cuts, remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.safe = np.zeros(0, bool)
+        self.flat = [np.zeros(0, np.uint32) for _ in self.sides]
+        self.lengths = [np.zeros(0, np.int64) for _ in self.sides]
+        self.starts = self.lengths
+
+    def _learn(self, new: list[str]) -> None:
+        """Give the parts the next numbers. Parts that make a text unsafe to cut have no ids."""
+        safe = np.array([bool(p) and not p[0].isspace() and p[0] not in ODD_SPACE and "▁" not in p for p in new], bool)
+        some = [p for p, good in zip(new, safe.tolist(), strict=True) if good]
+        self.numbers.update(zip(new, range(len(self.safe), len(self.safe) + len(new)), strict=True))
+        self.safe = np.append(self.safe, safe)
+        for i, side in enumerate(self.sides):
+            flat, counts = side.after_space(some)
+            lengths = np.zeros(len(new), np.int64)
+            lengths[safe] = counts
+            self.flat[i] = np.concatenate([self.flat[i], flat])
+            self.lengths[i] = np.concatenate([self.lengths[i], lengths])
+        self.starts = [np.cumsum(x) - x for x in self.lengths]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all texts end to end, and how many each text has."""
+        if len(self.numbers) > self.remembered:
+            self._forget()
+        cut = [text.split(" ") if self.cuts else [] for text in texts]
+        flat = list(chain.from_iterable(cut))
+        found = list(map(self.numbers.get, flat))
+        if None in found:
+            self._learn(list(dict.fromkeys(p for p, n in zip(flat, found, strict=True) if n is None)))
+            found = map(self.numbers.__getitem__, flat)
+        found = np.fromiter(found, np.int64, len(flat))
+        edges = np.cumsum([0, *map(len, cut)])
+        safe = np.logical_and.reduceat(self.safe[found], edges[:-1]) if texts and self.cuts else np.zeros(len(texts), bool)
+        found = found[np.repeat(safe, np.diff(edges))]
+        own = np.diff(edges) * safe
+        rest = [text for text, good in zip(texts, safe.tolist(), strict=True) if not good]
+        result = []
+        for side, ids, lengths, starts in zip(self.sides, self.flat, self.lengths, self.starts, strict=True):
+            sizes = lengths[found]
+            ends = np.cumsum(sizes)
+            at = np.repeat(starts[found] - (ends - sizes), sizes)
+            body = ids[at + np.arange(len(at))]
+            counts = np.diff(np.append(0, ends)[np.append(0, np.cumsum(own))])
+            if rest:
+                whole, more = _joined(side.whole(rest))
+                counts[~safe] = more
+                mixed = np.empty(len(body) + len(whole), np.uint32)
+                cutted = np.repeat(safe, counts)
+                mixed[cutted], mixed[~cutted] = body, whole
+                body = mixed
+            result.append((body, counts))
+        return result
 
 
 def byte_level_side(path: str) -> Side:
-    encoder = Encoder(path, REMEMBERED_PARTS)
+    encoder = Encoder(path)
     encoder.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     letters = _byte_letters()
     entries = [b""] * encoder.tokenizer.get_vocab_size()
     for entry, at in encoder.tokenizer.get_vocab().items():
         entries[at] = bytes(letters[c] for c in entry)
-    return Side(entries, lambda texts: [np.frombuffer(x, "<u4") for x in encoder.encode([" " + t for t in texts])])
+    return Side(
+        entries, lambda texts: encoder.ids([" " + t for t in texts]), lambda parts: _joined(encoder.ids_after_space(parts))
+    )
 
 
-def piece_side(path: str) -> Side:
+def piece_side(path: str) -> tuple[Side, bool]:
+    """The side, and whether its texts may be cut at spaces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -124,7 +170,16 @@ def piece_side(path: str) -> Side:
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
-    return Side([entry(i) for i in range(model.get_piece_size())], PieceEncoder(model).encode)
+    def ids(texts: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in model.encode(texts, num_threads=1)]
+
+    def parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = model.encode(texts, num_threads=1)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, counts.sum()), counts
+
+    cuts = not any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
+    return Side([entry(i) for i in range(model.get_piece_size())], ids, parts), cuts
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +233,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Aligned:
     """Texts of one step, laid end to end: ids, groups and links."""
 
-    def __init__(self, sides: tuple[Side, Side], texts: list[str]):
+    def __init__(self, parts: Parts, texts: list[str]):
         raw = [(" " + text).encode() if text else b"" for text in texts]
-        ids = [side.encode(texts) for side in sides]
-        same = self._same(sides[0], ids[0], raw) & self._same(sides[1], ids[1], raw)
-        none = np.zeros(0, np.uint32)
-        ids = [[x if good else none for x, good in zip(own, same, strict=True)] for own in ids]
-        self.a, self.b = (np.concatenate([none, *own]).astype(np.int64) for own in ids)
-        self.a_bounds, self.b_bounds = (np.cumsum([0, *map(len, own)]) for own in ids)
+        sides, ids = parts.sides, parts.encode(texts)
+        same = np.logical_and(*(self._same(side, *own, raw) for side, own in zip(sides, ids, strict=True)))
+        (self.a, self.a_bounds), (self.b, self.b_bounds) = (
+            (own[np.repeat(same, counts)].astype(np.int64), np.append(0, np.cumsum(counts * same))) for own, counts in ids
+        )
         ends_a, ends_b = np.cumsum(sides[0].lengths[self.a]), np.cumsum(sides[1].lengths[self.b])
         full = np.flatnonzero(np.diff(self.a_bounds))
         if len(full):
@@ -198,10 +252,10 @@ class Aligned:
         self.link_bounds = np.searchsorted(self.link_a, self.a_bounds)
 
     @staticmethod
-    def _same(side: Side, ids: list[np.ndarray], raw: list[bytes]) -> np.ndarray:
+    def _same(side: Side, ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
         """Which texts are not empty and are spelled by their tokens byte for byte."""
-        spelled, ends = side.spell(np.concatenate([np.zeros(0, np.uint32), *ids]))
-        bounds = np.append(0, ends)[np.cumsum([0, *map(len, ids)])]
+        spelled, ends = side.spell(ids)
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
         equal = np.diff(bounds) == np.fromiter(map(len, raw), np.int64, len(raw))
         if equal.all():
             wrong = np.flatnonzero(spelled != np.frombuffer(b"".join(raw), np.uint8))
@@ -236,13 +290,13 @@ class Aligned:
 _SIDES: dict[tuple[str, str], tuple] = {}
 
 
-def sides(path_a: str, path_b: str) -> tuple:
-    """The worker's sides and written ids for these files; workers outlive their tasks."""
+def sides(path_a: str, path_b: str) -> tuple[Parts, Spelling]:
+    """The worker's encoders and written ids for these files; workers outlive their tasks."""
     if (path_a, path_b) not in _SIDES:
-        a, b = byte_level_side(path_a), piece_side(path_b)
+        a, (b, cuts) = byte_level_side(path_a), piece_side(path_b)
         ids = [str(i).encode() for own in (a, b) for i in range(own.size)]
         forms = [i + b"," for i in ids] + [i + (b"|" if n < a.size else b";") for n, i in enumerate(ids)]
-        _SIDES[path_a, path_b] = (a, b), Spelling(forms)
+        _SIDES[path_a, path_b] = Parts((a, b), cuts), Spelling(forms)
     return _SIDES[path_a, path_b]
 
 
@@ -319,7 +373,8 @@ def aligned_blocks(
     """One row for each block of texts. ``whole`` also writes the groups out."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, forms = sides(path_a, path_b)
+        parts, forms = sides(path_a, path_b)
+        a, b = parts.sides
         number = TaskContext.get().partitionId() << 32
 
         def closed(block: _Block) -> pa.RecordBatch:
@@ -327,8 +382,8 @@ def aligned_blocks(
 
         block, links = _Block(), 0
         for ids, texts in _steps(batches):
-            found = Aligned(own, texts)
-            block.add(ids, found, found.written_groups(forms, own[0].size), own[1].size, whole)
+            found = Aligned(parts, texts)
+            block.add(ids, found, found.written_groups(forms, a.size), b.size, whole)
             links += len(found.link_a)
             if links >= block_links:
                 yield closed(block)
@@ -362,7 +417,7 @@ def cross_align(
     adds one. ``n_best`` counts links whose pair is among the most frequent of its B id, ``count_sum`` adds up the corpus-wide
     counts of a text's links.
     """
-    b_size = piece_side(path_b).size
+    b_size = piece_side(path_b)[0].size
     blocks = written(aligned_blocks(docs, path_a, path_b, block_links, whole, doc_id, text), "blocks")
     answers = _pair_rows(blocks).select("block", "at", "pair").join(pair_counts(blocks, b_size), "pair")
     names = [n for n in _DOC if whole or n != "groups"]

@@ -36,7 +36,7 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: What a tokenizer may take for white space, beyond what Python does.
 _UNSAFE = object()
-_ODD_SPACE = "\u180e\u200b\u200c\u200d\ufeff"
+ODD_SPACE = "\u180e\u200b\u200c\u200d\ufeff"
 
 
 class Encoder:
@@ -61,11 +61,11 @@ class Encoder:
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _ids_after_space(self, parts: list[str]) -> list[bytes]:
+    def ids_after_space(self, parts: list[str]) -> list[bytes]:
         """Ids of a space and each part. Many parts go as one text: each holds one space byte, in its first token."""
         found = []
         for at in range(0, len(parts), PARTS_AT_ONCE):
@@ -74,7 +74,7 @@ class Encoder:
             ids = np.array(joined[0].ids, "<u4")
             begins = np.flatnonzero(self.spaced[ids])
             if len(begins) != len(some) or begins[0]:  # an added token that takes the space before it
-                found += self._ids([" " + p for p in some])
+                found += self.ids([" " + p for p in some])
                 continue
             body, edges = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
             found += [body[i:j] for i, j in zip(edges, edges[1:])]
@@ -85,16 +85,16 @@ class Encoder:
         for p in parts:
             if p in self.old:
                 self.young[p] = self.old[p]
-            elif not p or p[0].isspace() or p[0] in _ODD_SPACE:
+            elif not p or p[0].isspace() or p[0] in ODD_SPACE:
                 self.young[p] = _UNSAFE
             else:
                 new.append(p)
-        self.young.update(zip(new, self._ids_after_space(new), strict=True))
+        self.young.update(zip(new, self.ids_after_space(new), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [text.split(" ") for text in texts]
-        heads = self._ids([parts.pop(0) for parts in cut])
+        heads = self.ids([parts.pop(0) for parts in cut])
         found = [list(map(self.young.get, parts)) for parts in cut]
         gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
         new = {parts[i] for parts, gap in zip(cut, gaps, strict=True) for i in gap}
@@ -107,7 +107,7 @@ class Encoder:
             try:
                 result.append(head + b"".join(ids))
             except TypeError:  # an unsafe part
-                result.append(self._ids([text])[0])
+                result.append(self.ids([text])[0])
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         return result
